@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.llm import bpe, huffman
+from tamarack.llm import bpe, huffman, toxicity, urls
+from tamarack.llm.urls import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL for the same rows, where SQL can express them.
@@ -32,3 +33,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = huffman.write_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return huffman.checksums(huffman.read(spark, path))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: The rules that op7's contract names.
+URL_RULES = [
+    Rule("block", "com", "/en/"),
+    Rule("allow", "example.com", "/en/7"),
+    Rule("allow", "net", "/de/"),
+    Rule("block", "example.net", "/de/8"),
+    Rule("block", "org", "/es/"),
+]
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
