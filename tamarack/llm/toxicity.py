@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import pick, row_groups, text_bytes
 
 POSITIVES, UNLABELLED, BITS = 3000, 9000, 18
-STEPS, RATE, DECAY, SEED = 300, 0.05, 1e-5, 7
+#: A feature counts if so many confirmed documents have it, so many times the
+#: share of the unlabelled, and more than chance explains by so many standard errors.
+LEAST, SHARE, RATIO, SIGMAS = 3, 0.008, 2.5, 5.0
+STEPS, RATE, DECAY, SEED = 500, 0.1, 1e-6, 7
 FOLDS = 5
 CACHE_ENTRIES, CACHED_WORD_BYTES, CHUNK_BYTES = 1 << 18, 40, 1 << 21
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -85,18 +88,23 @@ class Model:
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS) -> Model:
-    """Non-negative risk, sigmoid loss, Adam on mini-batches; no positives: everything is clean."""
+    """Non-negative risk, logistic loss, Adam on mini-batches. Evidence only adds up: features that
+    tell for toxicity get weights of zero or more, so that a text's length doesn't hide them. No positives: everything is clean."""
     if not positive or not unlabelled:
         return Model(np.zeros(1 << BITS, np.float32), -4.0)
     rng = np.random.default_rng(SEED)
-    used, where = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
-    sizes = np.array([len(x) for x in [*positive, *unlabelled]])
-    ends = np.cumsum(sizes)
-    rows = [where[a:b] for a, b in zip(ends - sizes, ends, strict=True)]
-    seen = np.zeros(len(used))
-    np.add.at(seen, where, 1)
-    common = seen >= 3  # a feature of one or two training documents tells nothing
-    rows = [r[common[r]] for r in rows]
+
+    def counted(rows):
+        return np.bincount(np.concatenate(rows), minlength=1 << BITS).astype(float)
+
+    toxic, other = counted(positive), counted(unlabelled)
+    p, u = (toxic + 0.5) / (len(positive) + 1), (other + 0.5) / (len(unlabelled) + 1)
+    error = np.sqrt(u * (1 - u) * (1 / len(positive) + 1 / len(unlabelled)))
+    telling = (toxic >= max(LEAST, SHARE * len(positive))) & (p >= RATIO * u) & (p - u >= SIGMAS * error)
+    used = np.flatnonzero(telling)
+    place = np.zeros(1 << BITS, np.int64)
+    place[used] = np.arange(len(used))
+    rows = [place[r[telling[r]]] for r in [*positive, *unlabelled]]
     n = len(positive)
     w, b, mean, var, bm, bv = np.zeros(len(used)), -1.0, np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, steps + 1):
@@ -107,21 +115,21 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         flat = np.concatenate([rows[i] for i in take])
         owner = np.repeat(np.arange(len(take)), size)
         z = np.bincount(owner, w[flat], len(take)) + b
-        s = 1 / (1 + np.exp(-np.clip(z, -60, 60)))  # the loss of calling a clean document toxic
-        slope = s * (1 - s)
+        z = np.clip(z, -60, 60)
+        s, cost = 1 / (1 + np.exp(-z)), np.logaddexp(0, z)  # of calling a clean document toxic
         is_pos = np.arange(len(take)) < len(pos)
         share = np.where(is_pos, 1 / len(pos), 1 / len(unl))
-        rest = s[~is_pos].mean() - prior * s[is_pos].mean()
-        clean = np.where(is_pos, -prior * slope, slope) * share
-        pull = clean if rest >= 0 else -clean
-        if rest >= 0:
-            pull = pull + np.where(is_pos, -prior * slope, 0) * share
+        clean = np.where(is_pos, -prior * s, s) * share
+        if cost[~is_pos].mean() - prior * cost[is_pos].mean() >= 0:
+            pull = clean + np.where(is_pos, -prior * (1 - s), 0) * share
+        else:
+            pull = -clean
         grad = np.bincount(flat, pull[owner], len(used)) + DECAY * w
         gb = pull.sum()
         mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad**2
         bm, bv = 0.9 * bm + 0.1 * gb, 0.999 * bv + 0.001 * gb**2
         fix = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-        w -= fix * mean / (np.sqrt(var) + 1e-8)
+        w = np.maximum(w - fix * mean / (np.sqrt(var) + 1e-8), 0)
         b -= fix * bm / (np.sqrt(bv) + 1e-8)
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = np.where(np.abs(w) < 1e-3, 0, w)
