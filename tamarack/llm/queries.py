@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.llm import bpe, huffman, minhash, toxicity, urls
+from tamarack.llm import bpe, crosspolytope, huffman, minhash, toxicity, urls
 from tamarack.llm.urls import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
