@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamarack.llm import bpe, crosspolytope, huffman, minhash, toxicity, urls
+from tamarack.llm import bpe, crosspolytope, fmindex, huffman, minhash, suffixarray, toxicity, urls
 from tamarack.llm.urls import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,15 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffixarray.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fmindex.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
