@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import bpe, crosspolytope, fmindex, huffman, minhash, suffixarray, toxicity, urls
+from tamarack.llm import bpe, crosspolytope, decontaminate, fmindex, huffman, minhash, suffixarray, toxicity, urls
 from tamarack.llm.urls import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fmindex.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
