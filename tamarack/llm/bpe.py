@@ -392,23 +392,27 @@ def decode(tokens: DataFrame, path: str, id_column: str = "doc_id", ids_column:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of what encode and decode give, made
-    where the ids are, so that these need not leave the worker."""
+    where the ids are, so that these need not leave the worker; ``with_ids``: the ids as well."""
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
     def run(batches):
         words = vocabulary(path)
         digits, pieces = words.digits.__getitem__, words.bytes_of.__getitem__
         for batch in batches:
-            n, ids_hash, bytes_hash = [], [], []
+            n, ids_hash, bytes_hash, every = [], [], [], []
             for _, texts in _parts(batch.column(1)):
                 _, ids, rows = words.slices(texts)
                 size, text_of, bytes_of = list(map(len, ids)), [b",".join(map(digits, x)) for x in ids], [b"".join(map(pieces, x)) for x in ids]
+                if with_ids:
+                    every += [np.fromiter(chain.from_iterable([ids[i] for i in row]), np.int32) for row in rows]
                 for row in rows:
                     n.append(sum([size[i] for i in row]))
                     ids_hash.append(hashlib.sha256(b",".join([text_of[i] for i in row])).hexdigest())
                     bytes_hash.append(hashlib.sha256(b"".join([bytes_of[i] for i in row])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(bytes_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(bytes_hash, pa.string()), *([pa.array(every, pa.list_(pa.int32()))] if with_ids else [])], names)
 
     source = pick(docs, doc_id=id_column, text=text_column)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")

@@ -213,19 +213,42 @@ def embed(words: np.ndarray, start: np.ndarray, stop: np.ndarray, length: np.nda
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """doc_id, item_id, edits, n_words, start: of each item in each document that holds it, or a part
-    of it, the closest occurrence: its edits, the words looked for, and the word it starts at."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, item_column: str, item_text_column: str):
+    """The patterns of BLOCK_WORDS words of items or so at a time."""
     items = pick(benchmark, item_id=item_column, text=item_text_column).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     size = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first().n or 0
     blocks = max(1, -(-size // BLOCK_WORDS))
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Patterns([(r.item_id, r.text.encode()) for r in part]))
+
+
+def without_matches(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item and no part of one."""
+    place = docs.columns.index(text_column)
+    for kept in _blocks(benchmark, item_column, item_text_column):
+
+        def run(batches, kept=kept):
+            for batch in batches:
+                data, offsets = text_bytes(batch.column(place))
+                clean = np.ones(batch.num_rows, bool)
+                for a, b in row_groups(offsets, CHUNK_BYTES) if kept.value.words else ():
+                    texts = [values(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(a, b)]
+                    for row, *_ in kept.value.find(np.concatenate(texts), np.cumsum([len(t) for t in texts])):
+                        clean[a + row] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+    """doc_id, item_id, edits, n_words, start: of each item in each document that holds it, or a part
+    of it, the closest occurrence: its edits, the words looked for, and the word it starts at."""
     source = pick(docs, doc_id=id_column, text=text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = "doc_id long, item_id long, edits long, n_words long, start long"
     out = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        kept = spark.sparkContext.broadcast(Patterns([(r.item_id, r.text.encode()) for r in part]))
+    for kept in _blocks(benchmark, item_column, item_text_column):
 
         def run(batches, kept=kept):
             patterns = kept.value

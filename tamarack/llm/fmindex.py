@@ -151,15 +151,33 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return _rows(docs, id_column, text_column, make, "doc_id long, n_words long, n_removed long, kept binary")
 
 
-def cut_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_removed, kept binary: the text as it was, but for the removed words and the white
-    space behind each."""
+def cut(data: bytes, gone: list[tuple[int, int]]) -> bytes:
+    """The text as it was, but for the words of these ranges and the white space behind each."""
+    at = [m.start() for m in _WORD.finditer(data)] + [len(data)]
+    places = [0, *(at[x] for r in gone for x in r), len(data)]
+    return b"".join(data[a:b] for a, b in zip(places[::2], places[1::2], strict=True))
 
-    def make(data: bytes, gone: list[tuple[int, int]]) -> dict:
-        if not gone:
-            return {"n_removed": 0, "kept": data}
-        at = [m.start() for m in _WORD.finditer(data)] + [len(data)]
-        places = [0, *(at[x] for r in gone for x in r), len(data)]
-        return {"n_removed": sum(b - a for a, b in gone), "kept": b"".join(data[a:b] for a, b in zip(places[::2], places[1::2], strict=True))}
 
-    return _rows(docs, id_column, text_column, make, "doc_id long, n_removed long, kept binary")
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """``docs`` with all its rows and columns: repeated word sequences are cut out of the texts, and a
+    length column tells the new lengths. Texts without any stay as they are, null too."""
+    place = docs.columns.index(text_column)
+    names = docs.columns
+    counts = names.index(length_column) if length_column in names else -1
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            columns = batch.column(4).flatten()
+            lengths = columns[counts].to_pylist() if counts >= 0 else []
+            for i, (starts, ranges) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if starts:
+                    texts[i] = cut(texts[i].encode(), spans(starts, ranges)).decode()
+                    if counts >= 0:
+                        lengths[i] = len(texts[i])
+            columns[place] = pa.array(texts, columns[place].type)
+            if counts >= 0:
+                columns[counts] = pa.array(lengths, columns[counts].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return covered(docs, KIND, kernel, id_column, text_column, rest=True).mapInArrow(run, docs.schema)

@@ -89,7 +89,8 @@ class Model:
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS) -> Model:
     """Non-negative risk, logistic loss, Adam on mini-batches. Evidence only adds up: features that
-    tell for toxicity get weights of zero or more, so that a text's length doesn't hide them. No positives: everything is clean."""
+    tell for toxicity get weights of zero or more, so that a text's length doesn't hide them, and a text without evidence is no likelier toxic than
+    the prior. No positives: everything is clean."""
     if not positive or not unlabelled:
         return Model(np.zeros(1 << BITS, np.float32), -4.0)
     rng = np.random.default_rng(SEED)
@@ -105,8 +106,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     place = np.zeros(1 << BITS, np.int64)
     place[used] = np.arange(len(used))
     rows = [place[r[telling[r]]] for r in [*positive, *unlabelled]]
-    n = len(positive)
-    w, b, mean, var, bm, bv = np.zeros(len(used)), -1.0, np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    n, most = len(positive), float(np.log(prior / (1 - prior)))
+    w, b, mean, var, bm, bv = np.zeros(len(used)), most, np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, steps + 1):
         pos = rng.choice(n, min(n, 512), replace=False)
         unl = n + rng.choice(len(unlabelled), min(len(unlabelled), 1536), replace=False)
@@ -130,7 +131,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         bm, bv = 0.9 * bm + 0.1 * gb, 0.999 * bv + 0.001 * gb**2
         fix = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         w = np.maximum(w - fix * mean / (np.sqrt(var) + 1e-8), 0)
-        b -= fix * bm / (np.sqrt(bv) + 1e-8)
+        b = min(b - fix * bm / (np.sqrt(bv) + 1e-8), most)
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = np.where(np.abs(w) < 1e-3, 0, w)
     return Model(weights, float(b))
@@ -182,6 +183,22 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score under one half."""
+    kept = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_column, text_column))
+    place = docs.columns.index(text_column)
+
+    def run(batches):
+        cache: dict = {}
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(place))
+            out = [kept.value.scores([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)], cache) for a, b in row_groups(offsets, CHUNK_BYTES)]
+            if out:
+                yield batch.filter(pa.array(np.concatenate(out) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     rows = score(docs, fit(docs, labels))

@@ -262,9 +262,10 @@ def _repeated(slices: DataFrame, kernel: Kernel) -> DataFrame:
     return dealt.mapInArrow(shards, "m long, hash long, ranges array<int>")
 
 
-def covered(docs: DataFrame, kind: Kind, kernel: Kernel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def covered(docs: DataFrame, kind: Kind, kernel: Kernel, id_column: str = "doc_id", text_column: str = "text", rest: bool = False) -> DataFrame:
     """doc_id, text, starts, ranges: with each row of ``docs``, the slices that have repeated windows
-    (null for none), where each starts and the ranges in it that such windows cover, in symbols."""
+    (null for none), where each starts and the ranges in it that such windows cover, in symbols.
+    ``rest``: the column rest as well, a structure of all columns by place."""
     spark = docs.sparkSession
     texts = _keyed(docs, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     path = new_path(spark, "slices")
@@ -273,8 +274,12 @@ def covered(docs: DataFrame, kind: Kind, kernel: Kernel, id_column: str = "doc_i
     of = slices.select("m", "hash", "doc_id", "digest", "start").join(found, ["m", "hash"]).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "ranges")).alias("found"))
     of = stored(of, "found")
     discard(spark, path)
+    if rest:
+        plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
+        key, text = (F.col(f"_c{docs.columns.index(c)}") for c in (id_column, text_column))
+        texts = plain.select(key.cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"), F.struct(*plain.columns).alias("rest"))
     on = texts.doc_id.eqNullSafe(of.doc_id) & texts.digest.eqNullSafe(of.digest)
-    return texts.join(of, on, "left").select(texts.doc_id, "text", F.col("found.start").alias("starts"), F.col("found.ranges").alias("ranges"))
+    return texts.join(of, on, "left").select(texts.doc_id, "text", F.col("found.start").alias("starts"), F.col("found.ranges").alias("ranges"), *(["rest"] if rest else []))
 
 
 def spans(starts: list[int] | None, ranges: list[list[int]] | None) -> list[tuple[int, int]]:
