@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,18 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     for source in columns.values():
         if source not in names:
             raise ValueError(f"no column {source!r} in {names}")
-    plain = df.toDF(*(f"_c{i}" for i in range(len(names))))
-    return plain.select(*(F.col(f"_c{names.index(source)}").alias(target) for target, source in columns.items()))
+    return numbered(df).select(*(F.col(f"_c{names.index(source)}").alias(target) for target, source in columns.items()))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by place, so that names which clash don't matter."""
+    return df.toDF(*(f"_c{i}" for i in range(len(df.columns))))
+
+
+def passed_through(df: DataFrame, run: Callable) -> DataFrame:
+    """``df`` with its columns as they are, after ``run`` over Arrow batches of them all."""
+    plain = numbered(df)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +71,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give memory that a Python worker has done with back to the machine: workers outlive tasks, and
+    an executor has several."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all rows end to end, and the len + 1 offsets; null is empty."""
     if column.null_count:

@@ -2,8 +2,10 @@
 
 A vector is rotated by three rounds of random signs and a fast Hadamard transform; the coordinate
 that is largest in size, with its sign, is the nearest vertex of the cross-polytope and its hash.
-Each of TABLES tables has its own rotation. A vector goes into the buckets of its PROBES nearest
-vertices, so two vectors meet where one's best vertex is only the other's second best.
+Each of TABLES tables puts together the hashes of HASHES rotations of its own, which makes buckets
+many and small. A vector goes into the buckets of every choice among its PROBES nearest vertices of
+each, so two vectors meet where one's best vertex is only the other's second best: at a cosine of
+0.98 in 64 dimensions, in 95 of 100 tables.
 
 Vectors are compared only within a label. Equal vectors form a class with a count and stand for
 one point. In every bucket, blocks of points are compared by matrix products in double precision; a
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import partitions, pick, stored
 from tamarack.llm.components import components
 
-COSINE, TABLES, PROBES, BLOCK, SEED = 0.98, 10, 3, 512, 5
+COSINE, TABLES, HASHES, PROBES, BLOCK, SEED = 0.98, 4, 2, 2, 512, 5
 
 
 @functools.cache
@@ -47,8 +49,8 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def vertices(rows: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
-    """The nearest vertices of each row in each table, the nearest first: rows x tables x probes."""
+def vertices(rows: np.ndarray, tables: int = TABLES * HASHES, probes: int = PROBES) -> np.ndarray:
+    """The nearest vertices of each row under each rotation, the nearest first: rows x tables x probes."""
     width = 1 << max(1, (rows.shape[1] - 1).bit_length())
     padded = np.zeros((len(rows), width))
     padded[:, : rows.shape[1]] = rows
@@ -63,6 +65,16 @@ def vertices(rows: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np
     return out
 
 
+def bucket_codes(rows: np.ndarray) -> np.ndarray:
+    """The buckets of each row, table by table: every choice of a probe from each of the table's hashes."""
+    v = vertices(rows).astype(np.int64)
+    v = v.reshape(len(rows), TABLES, HASHES, v.shape[2])
+    out = np.broadcast_to(np.arange(TABLES)[:, None], (len(rows), TABLES, 1))
+    for h in range(HASHES):
+        out = (out[..., None] * (2 << max(1, (rows.shape[1] - 1).bit_length())) + v[:, :, h, None, :]).reshape(len(rows), TABLES, -1)
+    return out.reshape(len(rows), -1)
+
+
 def _points(rows: DataFrame) -> DataFrame:
     """label, key (the vector's bytes), vector binary of doubles, ok: whether it can link at all."""
 
@@ -93,12 +105,11 @@ def _bucketed(points: DataFrame) -> DataFrame:
                 x = np.stack([np.frombuffer(raw[i], np.float64) for i in at])
                 unit = x / np.abs(x).max(1, keepdims=True)
                 unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-                v = vertices(unit)
-                codes = (v + (np.arange(v.shape[1])[:, None] << 24)).reshape(len(at), -1).astype(np.int32)
+                codes = bucket_codes(unit)
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 1)), pa.array([u.tobytes() for u in unit], pa.binary()), batch.column(3).take(take), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * codes.shape[1], pa.int32()), pa.array(codes.reshape(-1)))], ["point", "n", "vector", "label_key", "codes"])
 
-    hashed = points.select("point", "n", "vector", "label_key").mapInArrow(run, "point long, n long, vector binary, label_key long, codes array<int>")
+    hashed = points.select("point", "n", "vector", "label_key").mapInArrow(run, "point long, n long, vector binary, label_key long, codes array<long>")
     return hashed.withColumn("code", F.explode("codes"))
 
 
@@ -176,7 +187,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, id_column: str = "v
     can = source.where(F.col("fine") & F.col("vec_id").isNotNull())
     # equal vectors of a label are one point, named by its smallest id
     points = can.groupBy("label", "vector").agg(F.min("vec_id").alias("point"), F.count("*").alias("n"))
-    points = stored(points.withColumn("label_key", F.xxhash64("label")), "points")
+    points = stored(points.withColumn("label_key", F.xxhash64("label", F.octet_length("vector"))), "points")
     found = stored(_compared(_bucketed(points), cosine), "found")
     counts = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("more"))
     of = components(found.where(F.col("b").isNotNull()).select("a", "b"))

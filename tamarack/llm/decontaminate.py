@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import pick, row_groups, text_bytes
+from tamarack.llm.common import passed_through, pick, row_groups, text_bytes
 from tamarack.llm.minhash import LOWER, mix
 
 #: Edits per word of the item, the fewest words of an item, the least words of a part of one.
@@ -31,7 +31,7 @@ EDITS, FEWEST, PART = 0.25, 5, 13
 WALKS, SAMPLE, RECALL, MOST_REPETITIONS, SEED = 4, 2, 0.99, 512, 17
 BLOCK_WORDS, CHUNK_BYTES, FILTER_BITS, LANES = 1 << 20, 1 << 21, 22, 4096
 _PUNCTUATION = b".,;:!?\"'()[]{}<>*_-`"
-CACHE_ENTRIES, CACHED_WORD_BYTES = 1 << 19, 48
+CACHE_ENTRIES, CACHED_WORD_BYTES = 1 << 17, 48
 
 
 class _Values(dict):
@@ -238,7 +238,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, text_column: str = "t
                         clean[a + row] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = passed_through(docs, run)
     return docs
 
 

@@ -21,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tamarack.llm.windows import Kind, covered, spans
+from tamarack.llm.common import numbered
+from tamarack.llm.windows import Kind, covered, rows_of, spans
 
 WIDTH, GRAM = 35, 12
 KIND = Kind(words=True, width=WIDTH, gram=GRAM)
@@ -131,7 +132,7 @@ def kernel(slices: list[bytes], weights: np.ndarray, width: int = WIDTH) -> list
 
 def _rows(docs: DataFrame, id_column: str, text_column: str, make, schema: str) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in rows_of(batches):
             rows = [make((text or "").encode(), spans(starts, ranges)) for text, starts, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist([{"doc_id": key} | row for key, row in zip(batch.column(0).to_pylist(), rows, strict=True)], schema=pa.schema([(name, {"long": pa.int64(), "binary": pa.binary()}[kind]) for name, kind in (x.split() for x in schema.split(", "))]))
 
@@ -166,7 +167,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     counts = names.index(length_column) if length_column in names else -1
 
     def run(batches):
-        for batch in batches:
+        for batch in rows_of(batches):
             texts = batch.column(1).to_pylist()
             columns = batch.column(4).flatten()
             lengths = columns[counts].to_pylist() if counts >= 0 else []
@@ -178,6 +179,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             columns[place] = pa.array(texts, columns[place].type)
             if counts >= 0:
                 columns[counts] = pa.array(lengths, columns[counts].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, plain)
 
-    return covered(docs, KIND, kernel, id_column, text_column, rest=True).mapInArrow(run, docs.schema)
+    found, plain = covered(docs, KIND, kernel, id_column, text_column, rest=True), [f"_c{i}" for i in range(len(names))]
+    return found.mapInArrow(run, numbered(docs).schema).toDF(*names)

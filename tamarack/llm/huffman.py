@@ -5,7 +5,7 @@ the canonical rule, so a table of one byte per id describes them. A file set is
 
 * ``header``: one row - magic, version, bits of the longest code, ids per checkpoint, lengths;
 * ``blocks``: a row per block - shard, place in the shard, ids before it in the shard, the
-  documents with their numbers of ids, the bit offset of every STRIDE-th id, and the bits.
+  documents with their numbers of ids, the bit offset of every STRIDE-th id (32 bits each), and the bits.
 
 Shards follow one another in ascending doc_id order (null first), and so do the documents in
 them. A block holds whole documents and can be read by itself; all lanes between its checkpoints
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import discard, new_path, partitions, pick, row_groups, stored, text_bytes
 
-MAGIC, VERSION, MAX_BITS, STRIDE, BLOCK_IDS = "THUF", 1, 18, 256, 1 << 16
-CHUNK_BYTES, CACHE_ENTRIES, CACHED_CHUNK_BYTES = 1 << 21, 1 << 19, 64
+MAGIC, VERSION, MAX_BITS, STRIDE, BLOCK_IDS = "THUF", 1, 18, 128, 1 << 19
+CHUNK_BYTES, CACHE_ENTRIES, CACHED_CHUNK_BYTES = 1 << 21, 1 << 18, 64
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -126,32 +126,83 @@ class Words:
     """The tokenizer's ids by runs without ASCII white space.
 
     The vocabulary drops white space and marks the ends of words, and its normalisation never
-    reaches across U+0020 or U+0009-U+000D, so a text's ids are those of its runs end to end.
+    reaches across U+0020 or U+0009-U+000D, so a text's ids are those of its runs end to end. A
+    run of Latin letters, with full stops and the like behind them or not, is the ids of the
+    letters and those of the marks; words of letters go through the tokenizer many to a call, and
+    the ids that end a word part them again.
     """
 
+    MARKS = ".,;:!?"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.runs, self.letters, self.marks = Tokenizer.from_file(path), {}, {}, {}
+        self.dtype = id_type(self.tokenizer)
+        ends = {i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[list(ends)] = True
+        latin = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1)
+        self.latin = str.maketrans("", "", latin)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out = []
+        for a in range(0, len(words), 128):
+            part = words[a : a + 128]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                out += [x.tobytes() for x in np.split(ids, stops[:-1])]
+            else:
+                out += self._ids(part)
+        return out
+
+    def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of runs that aren't known; long ones are left out of the cache."""
+        simple, other = [], []
+        for run in runs:
+            text = run.decode()
+            core = text.rstrip(self.MARKS)
+            if core and len(run) <= CACHED_CHUNK_BYTES and not core.translate(self.latin):
+                simple.append((run, core.lower() if core.isascii() else core, text[len(core) :]))
+            else:
+                other.append((run, text))
+        if len(self.letters) > CACHE_ENTRIES:
+            self.letters.clear()
+        if new := list({core for _, core, _ in simple if core not in self.letters}):
+            self.letters.update(zip(new, self._words(new), strict=True))
+        for marks in {marks for _, _, marks in simple if marks and marks not in self.marks}:
+            self.marks[marks] = self._ids([marks])[0]
+        self.runs.update((run, self.letters[core] + self.marks[marks] if marks else self.letters[core]) for run, core, marks in simple)
+        extra = {}
+        for a in range(0, len(other), 4096):
+            part = other[a : a + 4096]
+            for (run, _), ids in zip(part, self._ids([text for _, text in part]), strict=True):
+                (self.runs if len(run) <= CACHED_CHUNK_BYTES else extra)[run] = ids
+        if len(self.marks) > CACHE_ENTRIES:
+            self.marks.clear()
+        return extra
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, ``end_id`` last."""
+        """Little-endian ids of each text, ``end_id`` last."""
         runs = [x.split() for x in texts]
-        cache = self.cache
-        new = {x for run in runs for x in run if x not in cache}
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
+        new = {x for run in runs for x in run if x not in self.runs}
+        if len(self.runs) + len(new) > CACHE_ENTRIES:
+            self.runs.clear()
             new = {x for run in runs for x in run}
-        words, extra = list(new), {}
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                (cache if len(word) <= CACHED_CHUNK_BYTES else extra)[word] = np.array(found.ids, "<u4").tobytes()
-        end = np.array([end_id], "<u4").tobytes()
-        if extra:
-            return [b"".join([cache[x] if x in cache else extra[x] for x in run]) + end for run in runs]
-        return [b"".join([cache[x] for x in run]) + end for run in runs]
+        extra = self._learn(list(new)) if new else {}
+        known = self.runs | extra if extra else self.runs
+        end = np.array([end_id], self.dtype).tobytes()
+        return [b"".join(map(known.__getitem__, run)) + end for run in runs]
+
+
+def id_type(tokenizer) -> str:
+    """Two bytes an id where they do, else four."""
+    return "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
 
 @functools.cache
@@ -160,7 +211,7 @@ def words(path: str) -> Words:
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, ids binary: each text's ids as little-endian 32-bit numbers, the end id last.
+    """doc_id, ids binary: each text's ids as little-endian numbers of :func:`id_type`, the end id last.
 
     A null text is empty and has the end id alone."""
 
@@ -177,14 +228,14 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id",
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> np.ndarray:
+def count_ids(tokens: DataFrame, dtype: str) -> np.ndarray:
     """How often each id occurs: a row per id and partition is summed, the vocabulary's size at most."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
             data, _ = text_bytes(batch.column(0))
-            seen = np.bincount(data.view("<u4")) if len(data) else np.zeros(0, np.int64)
+            seen = np.bincount(data.view(dtype)) if len(data) else np.zeros(0, np.int64)
             if len(seen) > len(total):
                 seen[: len(total)] += total
                 total = seen
@@ -203,8 +254,8 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
 BLOCK_SCHEMA = "shard int, block int, before long, doc_ids array<long>, sizes array<long>, n_ids long, marks binary, bits binary"
 
 
-def write(tokens: DataFrame, counts: np.ndarray, path: str) -> None:
-    """Write ``tokens`` (doc_id long, ids binary) as a file set."""
+def write(tokens: DataFrame, counts: np.ndarray, path: str, dtype: str) -> None:
+    """Write ``tokens`` (doc_id long, ids binary, numbers of ``dtype``) as a file set."""
     spark = tokens.sparkSession
     lengths = code_lengths(counts)
     code, packed = codes(lengths), lengths.tobytes()
@@ -216,9 +267,9 @@ def write(tokens: DataFrame, counts: np.ndarray, path: str) -> None:
         parts: list = []
 
         def flush():
-            ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            ids = np.concatenate(parts) if parts else np.zeros(0, dtype)
             bits, marks = pack(ids, lengths, code)
-            values = [[shard], [block], [before], [keys], [[len(x) for x in parts]], [len(ids)], [marks.tobytes()], [bits]]
+            values = [[shard], [block], [before], [keys], [[len(x) for x in parts]], [len(ids)], [marks.astype("<u4").tobytes()], [bits]]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
@@ -226,7 +277,7 @@ def write(tokens: DataFrame, counts: np.ndarray, path: str) -> None:
             data, offsets = text_bytes(batch.column(2))
             for row, (number, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 shard = number
-                ids = data[offsets[row] : offsets[row + 1]].copy().view("<u4")
+                ids = data[offsets[row] : offsets[row + 1]].copy().view(dtype)
                 keys.append(key)
                 parts.append(ids)
                 held += len(ids)
@@ -256,7 +307,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         table = decode_table(np.frombuffer(packed, np.uint8))
         for batch in batches:
             for r in batch.to_pylist():
-                ids = unpack(r["bits"], np.frombuffer(r["marks"], np.int64), r["n_ids"], table).astype("<u4")
+                ids = unpack(r["bits"], np.frombuffer(r["marks"], "<u4").astype(np.int64), r["n_ids"], table).astype("<u4")
                 size = np.array(r["sizes"], np.int64)
                 at = np.cumsum(size) - size
                 start = bases[r["shard"]] + r["before"] + at
@@ -275,7 +326,8 @@ def write_corpus(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     spark = docs.sparkSession
     path = path or new_path(spark, "ids")
     kept = new_path(spark, "tokens")
+    dtype = words(tokenizer).dtype
     tokens = stored(tokenize(docs, tokenizer, end_id), "tokens", kept)
-    write(tokens, count_ids(tokens), path)
+    write(tokens, count_ids(tokens, dtype), path, dtype)
     discard(spark, kept)
     return path

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import partitions, pick, stored, text_bytes
+from tamarack.llm.common import numbered, partitions, pick, stored, text_bytes
 from tamarack.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 32, 4
@@ -39,7 +39,7 @@ NEAR = 75
 AGREE = 84
 #: Nodes of a block, where sketches alone are held and where whole sets are.
 BLOCK, LINK_BLOCK = 1024, 256
-CACHE_ENTRIES, CACHED_WORD_BYTES = 1 << 19, 48
+CACHE_ENTRIES, CACHED_WORD_BYTES = 1 << 17, 48
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -245,7 +245,9 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 
 def links(clusters: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """a, b: a spanning forest of the links in each cluster (key, node, size, sketch)."""
+    """a, b: a spanning forest of the links in each cluster (key, node, size, sketch).
+
+    Texts are joined with the clusters by sorting at any size, as the clusters grow with the corpus."""
 
     def run(batches):
         for batch in batches:
@@ -254,7 +256,7 @@ def links(clusters: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_
                 out = [shingle_set(data[offsets[i] : offsets[i + 1]].tobytes()).tobytes() for i in range(a, min(a + 512, batch.num_rows))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, len(out)) for c in range(1, 5)), pa.array(out, pa.binary())], ["key", "node", "size", "sketch", "shingles"])
 
-    texts = pick(docs, node=id_column, text=text_column).join(clusters, "node").select("text", "key", "node", "size", "sketch")
+    texts = pick(docs, node=id_column, text=text_column).join(clusters.hint("merge"), "node").select("text", "key", "node", "size", "sketch")
     return _forests(texts.mapInArrow(run, "key long, node long, size long, sketch binary, shingles binary"), LINK_BLOCK, with_sets=True)
 
 
@@ -270,3 +272,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = rows.select("doc_id", "n_shingles", "class").join(known, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, but for those whose component has a smaller id."""
+    gone = near_duplicates(pick(docs, doc_id=id_column, text=text_column)).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    key = F.col(f"_c{docs.columns.index(id_column)}")
+    return numbered(docs).join(gone, key == F.col("_gone"), "left_anti").toDF(*docs.columns)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tamarack.llm.windows import Kind, covered, joined_ranges, spans
+from tamarack.llm.windows import Kind, covered, joined_ranges, rows_of, spans
 
 WIDTH, GRAM = 200, 40
 KIND = Kind(words=False, width=WIDTH, gram=GRAM)
@@ -90,7 +90,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """doc_id, n_bytes, n_removed, n_spans, spans (begin and end of each, in bytes), kept binary."""
 
     def run(batches):
-        for batch in batches:
+        for batch in rows_of(batches):
             out: list[list] = [[] for _ in range(5)]
             for text, starts, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data = (text or "").encode()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import pick, row_groups, text_bytes
+from tamarack.llm.common import passed_through, pick, row_groups, text_bytes
 
 POSITIVES, UNLABELLED, BITS = 3000, 9000, 18
 #: A feature counts if so many confirmed documents have it, so many times the
@@ -196,7 +196,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
             if out:
                 yield batch.filter(pa.array(np.concatenate(out) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return passed_through(docs, run)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import discard, new_path, partitions, pick, row_groups, stored, text_bytes
+from tamarack.llm.common import discard, new_path, numbered, partitions, pick, release, row_groups, stored, text_bytes
 from tamarack.llm.minhash import mix, word_hashes
 
 #: log2 of the bits of the table of minimizers that occur again; 16 MB are sent to the executors.
@@ -149,6 +149,7 @@ def _again(texts: DataFrame, kind: Kind) -> np.ndarray:
                 m, _, _, hits = runs(values, ends, kind)
                 if len(m):
                     yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(hits)], ["m", "n"])
+        release()
 
     def table(batches):
         parts: dict[int, np.ndarray] = {}
@@ -169,9 +170,8 @@ def _again(texts: DataFrame, kind: Kind) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _slices(texts: DataFrame, kind: Kind) -> DataFrame:
-    """m, slice, hash, doc_id, digest, start: of every run whose minimizer occurs again."""
-    table = texts.sparkSession.sparkContext.broadcast(_again(texts, kind))
+def _slices(texts: DataFrame, kind: Kind, table) -> DataFrame:
+    """m, slice, hash, doc_id, digest, start: of every run whose minimizer is in the bit table."""
 
     def run(batches):
         import xxhash
@@ -200,6 +200,8 @@ def _slices(texts: DataFrame, kind: Kind) -> DataFrame:
                     [pa.array(m.view(np.int64)), pa.array(cut, pa.binary()), pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in cut], np.uint64).view(np.int64)), batch.column(0).take(row), batch.column(2).take(row), pa.array(start, pa.int32())],
                     ["m", "slice", "hash", "doc_id", "digest", "start"],
                 )
+        del held
+        release()
 
     return texts.mapInArrow(run, "m long, slice binary, hash long, doc_id long, digest long, start int")
 
@@ -256,6 +258,8 @@ def _repeated(slices: DataFrame, kernel: Kernel) -> DataFrame:
                 size = sum(x.column(2).nbytes for x in held)
         if held:
             yield look(pa.Table.from_batches(held))
+        held = []
+        release()
 
     own = slices.select("m", "hash", "slice").mapInArrow(combine, "m long, hash long, slice binary, n long")
     dealt = own.repartition(partitions(slices.sparkSession), "m").sortWithinPartitions("m")
@@ -269,19 +273,33 @@ def covered(docs: DataFrame, kind: Kind, kernel: Kernel, id_column: str = "doc_i
     spark = docs.sparkSession
     texts = _keyed(docs, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     path = new_path(spark, "slices")
-    slices = stored(_slices(texts, kind), "slices", path)
+    table = spark.sparkContext.broadcast(_again(texts, kind))
+    slices = stored(_slices(texts, kind, table), "slices", path)
+    table.destroy()
     found = _repeated(slices, kernel)
     of = slices.select("m", "hash", "doc_id", "digest", "start").join(found, ["m", "hash"]).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "ranges")).alias("found"))
     of = stored(of, "found")
     discard(spark, path)
     if rest:
-        plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
+        plain = numbered(docs)
         key, text = (F.col(f"_c{docs.columns.index(c)}") for c in (id_column, text_column))
         texts = plain.select(key.cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"), F.struct(*plain.columns).alias("rest"))
     on = texts.doc_id.eqNullSafe(of.doc_id) & texts.digest.eqNullSafe(of.digest)
     return texts.join(of, on, "left").select(texts.doc_id, "text", F.col("found.start").alias("starts"), F.col("found.ranges").alias("ranges"), *(["rest"] if rest else []))
 
 
+#: Rows of texts that are worked on at a time.
+ROWS = 256
+
+
+def rows_of(batches):
+    """The batches in pieces of ROWS rows; at the end the worker's memory goes back."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+    release()
+
+
 def spans(starts: list[int] | None, ranges: list[list[int]] | None) -> list[tuple[int, int]]:
     """The maximal covered runs, ascending."""
     every = sorted((s + r[i], s + r[i + 1]) for s, r in zip(starts or (), ranges or (), strict=True) for i in range(0, len(r), 2))
