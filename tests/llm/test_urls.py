@@ -28,7 +28,7 @@ URLS += ["http://a.net/de/8", "http://example.net/de/8/z", "http://b.example.net
 
 def test_parts_and_rules(spark):
     data = list(enumerate(URLS)) + [(None, URLS[4]), (4, URLS[4])]
-    found = urls.judge(spark.createDataFrame(data, "page_id long, url string").withColumn("URL", F.lit("z")), URL_RULES).collect()
+    found = urls.judge(spark.createDataFrame([(k, u, "z") for k, u in data], "page_id long, url string, URL string"), URL_RULES).collect()
     want = Counter()
     for key, url in data:
         host, path = split(url)
