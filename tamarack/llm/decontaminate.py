@@ -7,7 +7,7 @@ their edit distance: the walk writes the word it stands on and steps on by a ran
 Windows that agree with the item in all of SAMPLE positions of some repetition go on to the edit
 distance proper. How many repetitions reach RECALL is measured on items with as many edits as may be.
 
-Words are compared in lower case and without punctuation around them. Items of PART words twice
+Words are compared without ASCII punctuation, and without regard to case in A-Z and Latin-1. Items of PART words twice
 over are looked for in parts as well, so that a long passage of one is found. Items are
 sent to the executors in blocks of BLOCK_WORDS words at most.
 
@@ -28,33 +28,46 @@ from tamarack.llm.minhash import LOWER, mix
 
 #: Edits per word of the item, the fewest words of an item, the least words of a part of one.
 EDITS, FEWEST, PART = 0.25, 5, 13
-WALKS, SAMPLE, RECALL, MOST_REPETITIONS, SEED = 4, 2, 0.99, 512, 17
+WALKS, SAMPLE, RECALL, MOST_REPETITIONS, SEED = 4, 3, 0.99, 512, 17
 BLOCK_WORDS, CHUNK_BYTES, FILTER_BITS, LANES = 1 << 20, 1 << 21, 22, 4096
-_PUNCTUATION = b".,;:!?\"'()[]{}<>*_-`"
-CACHE_ENTRIES, CACHED_WORD_BYTES = 1 << 17, 48
-
-
-class _Values(dict):
-    """Word: hash of its normal form."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        plain = word.translate(LOWER)
-        out = xxhash.xxh3_64_intdigest((plain.strip(_PUNCTUATION) or plain).decode("utf-8", "replace").lower())
-        if len(word) <= CACHED_WORD_BYTES:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = out
-        return out
-
-
-_VALUES = _Values()
+_SPACE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+_LOWER = np.frombuffer(LOWER, np.uint8)
+_BYTE = np.random.default_rng(31).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts end to end: a hash of each word, where each text's words end, and where each word begins.
+
+    A hash is that of the word's bytes but for ASCII punctuation, A-Z and the capitals of Latin-1 as
+    small letters. All words are hashed together: bytes by their places in the word, summed up."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64), np.zeros(0, np.int64)
+    low, space = _LOWER[data], _SPACE[data]
+    latin = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    low[1:][latin] += 0x20
+    begins = ~space
+    begins[1:] &= space[:-1]
+    firsts = offsets[:-1][offsets[:-1] < len(data)]
+    begins[firsts] = ~space[firsts]
+    number = np.cumsum(begins)
+    ends = np.concatenate([[0], number])[offsets[1:]]
+    n = int(number[-1])
+    at = np.flatnonzero(~(space | _MARK[data]))
+    word = number[at] - 1
+    size = np.bincount(word, minlength=n)
+    start = np.cumsum(size) - size
+    place = np.cumprod(np.full(int(size.max()) if n else 0, 0xD1342543DE82EF95, np.uint64))
+    out = np.zeros(n, np.uint64)
+    if len(at):
+        full = np.flatnonzero(size)
+        out[full] = np.add.reduceat(_BYTE[low[at]] * place[np.arange(len(at)) - start[word]], start[full])
+    return mix(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), ends, np.flatnonzero(begins)
 
 
 def values(text: bytes) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(_VALUES.__getitem__, words), np.uint64, len(words))
+    return word_values(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
 
 
 def allowed(length):
@@ -100,6 +113,8 @@ class Patterns:
             flat = np.concatenate(words)
             starts = np.cumsum(self.length) - self.length
             self.embedded = np.stack([embed(flat, starts, starts + self.length, self.length, w) for w in self.walks], 1)
+            # how long each item's walks are: behind the end there is nothing to tell items by
+            self.reach = np.maximum((self.embedded != 0).sum(2), 1)
             n = self._repetitions(rng)
             self.samples = rng.random((n, SAMPLE)), np.arange(n) % WALKS
 
@@ -136,7 +151,7 @@ class Patterns:
         for w, walk in enumerate(self.walks):
             mine = embed(flat, starts, starts + size, self.length[chosen], walk)
             for row, p in enumerate(chosen.tolist()):
-                n = 3 * int(self.length[p])
+                n = int(self.reach[p, w])
                 agree.append(float((mine[row, :n] == self.embedded[p, w, :n]).mean()))
         p = float(np.quantile(agree, 0.1)) ** SAMPLE
         return MOST_REPETITIONS if p <= 0 else int(min(max(np.ceil(np.log(1 - RECALL) / np.log1p(-min(p, 0.999))), 16), MOST_REPETITIONS))
@@ -160,20 +175,28 @@ class Patterns:
         if not found:
             return
         windows = np.unique(np.concatenate(found), axis=0)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        near = [windows[:0]]
         for a in range(0, len(windows), LANES):
             p, begin, doc = windows[a : a + LANES].T
-            p, begin, doc = (x[self._met(text, p, begin, first[doc], ends[doc])] for x in (p, begin, doc))
-            for k, b, d in zip(p.tolist(), begin.tolist(), doc.tolist(), strict=True):
-                most = int(allowed(self.length[k]))
-                if (known := best.get((d, k))) and known[0] == 0:
-                    continue
-                low = max(int(first[d]), b - most)
-                edits, end = edit_distance(self.words[k], text[low : min(int(ends[d]), b + int(self.length[k]) + most)])
-                if edits <= most and (not known or edits < known[0]):
-                    best[d, k] = (edits, max(low + end - int(self.length[k]), int(first[d])) - int(first[d]))
-        for (d, k), (edits, at) in sorted(best.items()):
-            yield d, k, edits, at
+            near.append(windows[a : a + LANES][self._met(text, p, begin, first[doc], ends[doc])])
+        # windows of one item in one text whose surroundings overlap are aligned together
+        p, begin, doc = np.concatenate(near).T
+        most = allowed(self.length)[p]
+        low, high = np.maximum(begin - most, first[doc]), np.minimum(begin + self.length[p] + most, ends[doc])
+        order = np.lexsort((low, p, doc))
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        k = 0
+        while k < len(order):
+            i = order[k]
+            d, q, start, stop = int(doc[i]), int(p[i]), int(low[i]), int(high[i])
+            while k < len(order) and doc[order[k]] == d and p[order[k]] == q and low[order[k]] <= stop:
+                stop = max(stop, int(high[order[k]]))
+                k += 1
+            edits, end = edit_distance(self.words[q], text[start:stop])
+            if edits <= allowed(self.length[q]) and ((d, q) not in best or edits < best[d, q][0]):
+                best[d, q] = (edits, max(start + end - int(self.length[q]), int(first[d])) - int(first[d]))
+        for (d, q), (edits, at) in sorted(best.items()):
+            yield d, q, edits, at
 
     def _met(self, text, pattern, begin, low, high) -> np.ndarray:
         """Whether item and window agree in all positions of some repetition."""
@@ -184,7 +207,7 @@ class Patterns:
         for w, walk in enumerate(self.walks):
             same = embed(text, start, stop, length, walk) == self.embedded[pattern, w][:, : 3 * int(length.max())] if len(pattern) else np.zeros((0, 1), bool)
             for sample in where[walk_of == w]:
-                at = (sample * (3 * length)[:, None]).astype(np.int64)
+                at = (sample * self.reach[pattern, w][:, None]).astype(np.int64)
                 met |= np.take_along_axis(same, at, 1).all(1)
         return met
 
@@ -233,8 +256,8 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, text_column: str = "t
                 data, offsets = text_bytes(batch.column(place))
                 clean = np.ones(batch.num_rows, bool)
                 for a, b in row_groups(offsets, CHUNK_BYTES) if kept.value.words else ():
-                    texts = [values(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(a, b)]
-                    for row, *_ in kept.value.find(np.concatenate(texts), np.cumsum([len(t) for t in texts])):
+                    words, ends, _ = word_values(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    for row, *_ in kept.value.find(words, ends):
                         clean[a + row] = False
                 yield batch.filter(pa.array(clean))
 
@@ -257,10 +280,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
             for batch in batches:
                 data, offsets = text_bytes(batch.column(1))
                 for a, b in row_groups(offsets, CHUNK_BYTES):
-                    texts = [values(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(a, b)]
-                    ends = np.cumsum([len(t) for t in texts])
+                    words, ends, _ = word_values(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     best: dict[tuple[int, int], tuple] = {}
-                    for row, k, edits, at in patterns.find(np.concatenate(texts), ends):
+                    for row, k, edits, at in patterns.find(words, ends):
                         n = int(patterns.length[k])
                         key = (row, patterns.item[k])
                         rank = (edits / n, -n)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import pick, row_groups, text_bytes
-from tamarack.llm.decontaminate import edit_distance, grams, values
+from tamarack.llm.decontaminate import edit_distance, grams, values, word_values
 
 OTHER, UNKNOWN = "other", "unknown"
 SAMPLE_DOCS, SAMPLE_LINES, VARIANTS, STEPS, SEED = 400, 4000, 30, 150, 29
@@ -220,16 +220,20 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for a, b in row_groups(offsets, CHUNK_BYTES):
-                rows, of = [], []
-                for i in range(a, b):
-                    for number, line in enumerate(data[offsets[i] : offsets[i + 1]].tobytes().split(b"\n")):
-                        words = values(line)
-                        if len(words):
-                            for piece in pieces(words):
-                                rows.append(piece)
-                                of.append((i, number))
-                if not rows:
+                own = data[offsets[a] : offsets[b]]
+                words, ends, begins = word_values(own, offsets[a : b + 1] - offsets[a])
+                if not len(words):
                     continue
+                # a paragraph's words have the same text and the same number of line ends before them
+                text = np.repeat(np.arange(a, b), np.diff(ends, prepend=0))
+                line = np.concatenate([[0], np.cumsum(own == 0x0A)])[begins]
+                firsts = np.concatenate([[0], np.cumsum(own == 0x0A)])[offsets[a:b] - offsets[a]]
+                cut = np.flatnonzero((np.diff(text) != 0) | (np.diff(line) != 0)) + 1
+                rows, of = [], []
+                for part, i, number in zip(np.split(words, cut), text[np.concatenate([[0], cut])].tolist(), (line - firsts[text - a])[np.concatenate([[0], cut])].tolist(), strict=True):
+                    for piece in pieces(part):
+                        rows.append(piece)
+                        of.append((i, number))
                 p = model.probabilities(rows)
                 best: dict[tuple[int, int], tuple] = {}
                 for k in np.flatnonzero(p[:, 0] < 0.5).tolist():
