@@ -40,12 +40,10 @@ def passed_through(df: DataFrame, run: Callable) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share; a temporary one only where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tamarack-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tamarack-')}")
+        where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
