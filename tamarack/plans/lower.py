@@ -105,6 +105,7 @@ class Lowering:
         numbers: list[str] = []
         if grouping.needs_row_numbers(query):
             numbers = [f"r{next(self.numbers)}" for _ in frames]
+        if len(numbers) > 1:
             frames = [f.withColumn(n, F.monotonically_increasing_id()) for f, n in zip(frames, numbers, strict=True)]
         return relations.product(frames), scope, numbers
 
@@ -224,6 +225,8 @@ class Lowering:
             if ast.condition_aggregates(query.where):
                 raise SemanticError("WHERE can't have aggregates")
             frame = self.filtered(frame, self.resolve_condition(query.where, scope), scope)
+        if len(row_numbers) == 1:  # behind the filter, which so reaches the scan
+            frame = frame.withColumn(row_numbers[0], F.monotonically_increasing_id())
         items, names = [], []
         fresh = itertools.count(1)
         for item in query.items or tuple(ast.Item(ast.Name(a, n), None) for a, n, _ in scope.columns):

@@ -131,4 +131,6 @@ def test_plans(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
     plan = e.explain('SELECT s.s_suppkey FROM "supplier" s WHERE s.s_nationkey NOT IN (SELECT n.n_nationkey FROM "nation" n)')
     assert "LeftAnti" in plan and "isNullAware" not in plan
+    plan = e.explain('SELECT n.n_name, n.n_regionkey FROM "nation" n WHERE n.n_regionkey > 2 GROUP BY n.n_regionkey')
+    assert "PushedFilters: [IsNotNull(n_regionkey), GreaterThan(n_regionkey,2)]" in plan
     assert "digraph" in e.to_dot('SELECT * FROM "orders" o')
