@@ -145,11 +145,11 @@ def _sample(rows: DataFrame, most: int) -> list[np.ndarray]:
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            out = [features(data[offsets[i] : offsets[i + 1]].tobytes()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["features"])
+            out = [features(data[offsets[i] : offsets[i + 1]].tobytes()).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["features"])
 
-    got = rows.select("text").mapInArrow(run, "features array<int>").limit(most).collect()
-    return [np.array(r.features, np.int32) for r in got]
+    got = rows.select("text").mapInArrow(run, "features binary").limit(most).toLocalIterator()
+    return [np.frombuffer(bytes(r.features), np.int32) for r in got]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
