@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import discard, new_path, partitions, pick, row_groups, stored, text_bytes
 
 MAGIC, VERSION, MAX_BITS, STRIDE, BLOCK_IDS = "THUF", 1, 18, 128, 1 << 19
-CHUNK_BYTES, CACHE_ENTRIES, CACHED_CHUNK_BYTES = 1 << 21, 1 << 18, 64
+CHUNK_BYTES, CACHE_ENTRIES, WORD_ENTRIES, CACHED_CHUNK_BYTES = 1 << 21, 1 << 19, 1 << 19, 64
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -132,7 +132,7 @@ class Words:
     the ids that end a word part them again.
     """
 
-    MARKS = ".,;:!?"
+    MARKS = b".,;:!?"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -149,39 +149,41 @@ class Words:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        out = []
-        for a in range(0, len(words), 128):
-            part = words[a : a + 128]
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        out, width = [], np.dtype(self.dtype).itemsize
+        for a in range(0, len(words), 256):
+            part = [w.decode() for w in words[a : a + 256]]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part) and stops[-1] == len(ids):
-                out += [x.tobytes() for x in np.split(ids, stops[:-1])]
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * width
+            if len(stops) == len(part) and stops[-1] == ids.nbytes:
+                raw, stops = ids.tobytes(), stops.tolist()
+                out += [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)]
             else:
                 out += self._ids(part)
         return out
 
     def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
         """Ids of runs that aren't known; long ones are left out of the cache."""
-        simple, other = [], []
-        for run in runs:
-            text = run.decode()
-            core = text.rstrip(self.MARKS)
-            if core and len(run) <= CACHED_CHUNK_BYTES and not core.translate(self.latin):
-                simple.append((run, core.lower() if core.isascii() else core, text[len(core) :]))
-            else:
-                other.append((run, text))
-        if len(self.letters) > CACHE_ENTRIES:
+        cores = [run.rstrip(self.MARKS).lower() for run in runs]
+        new = [c for c in set(cores) if c not in self.letters and 0 < len(c) <= CACHED_CHUNK_BYTES and not c.decode().translate(self.latin)]
+        if len(self.letters) + len(new) > WORD_ENTRIES:
             self.letters.clear()
-        if new := list({core for _, core, _ in simple if core not in self.letters}):
-            self.letters.update(zip(new, self._words(new), strict=True))
-        for marks in {marks for _, _, marks in simple if marks and marks not in self.marks}:
-            self.marks[marks] = self._ids([marks])[0]
-        self.runs.update((run, self.letters[core] + self.marks[marks] if marks else self.letters[core]) for run, core, marks in simple)
-        extra = {}
+            new = [c for c in set(cores) if 0 < len(c) <= CACHED_CHUNK_BYTES and not c.decode().translate(self.latin)]
+        self.letters.update(zip(new, self._words(new), strict=True))
+        known, other, extra = self.letters, [], {}
+        for run, core in zip(runs, cores, strict=True):
+            if (ids := known.get(core)) is None or len(run) > CACHED_CHUNK_BYTES:
+                other.append(run)
+            elif len(core) == len(run):
+                self.runs[run] = ids
+            else:
+                marks = run[len(core) :]
+                if marks not in self.marks:
+                    self.marks[marks] = self._ids([marks.decode()])[0]
+                self.runs[run] = ids + self.marks[marks]
         for a in range(0, len(other), 4096):
             part = other[a : a + 4096]
-            for (run, _), ids in zip(part, self._ids([text for _, text in part]), strict=True):
+            for run, ids in zip(part, self._ids([x.decode() for x in part]), strict=True):
                 (self.runs if len(run) <= CACHED_CHUNK_BYTES else extra)[run] = ids
         if len(self.marks) > CACHE_ENTRIES:
             self.marks.clear()
