@@ -1,14 +1,18 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit verification, on words.
 
-A window of a document, as long as a benchmark item, is a candidate where it shares a run of a few
+Items of PART words or more are looked for as wholes and in all their parts of PART words or more.
+Wherever such a part occurs with a quarter of its words in edits, at least two of its three-word
+runs are left, not far from each other; the text around any two such runs is aligned with all parts
+at once, so that none is missed.
+
+Of shorter items, a window of a document, as long as the item, is a candidate where it shares a run of a few
 words with the item in the same place; every window within a quarter of the item's words in edits
 has such a run. A CGK random walk maps item and window to sequences whose Hamming distance follows
 their edit distance: the walk writes the word it stands on and steps on by a random bit of the word.
 Windows that agree with the item in all of SAMPLE positions of some repetition go on to the edit
 distance proper. How many repetitions reach RECALL is measured on items with as many edits as may be.
 
-Words are compared without ASCII punctuation, and without regard to case in A-Z and Latin-1. Items of PART words twice
-over are looked for in parts as well, so that a long passage of one is found. Items are
+Words are compared without ASCII punctuation, and without regard to case in A-Z and Latin-1. Items are
 sent to the executors in blocks of BLOCK_WORDS words at most.
 
 Defined results: null and empty texts hold nothing; items of fewer than FEWEST words, which are no
@@ -29,7 +33,7 @@ from tamarack.llm.minhash import LOWER, mix
 #: Edits per word of the item, the fewest words of an item, the least words of a part of one.
 EDITS, FEWEST, PART = 0.25, 5, 13
 WALKS, SAMPLE, RECALL, MOST_REPETITIONS, SEED = 4, 3, 0.99, 512, 17
-BLOCK_WORDS, CHUNK_BYTES, FILTER_BITS, LANES = 1 << 20, 1 << 21, 22, 4096
+BLOCK_WORDS, CHUNK_BYTES, FILTER_BITS, LANES, STRETCH = 1 << 20, 1 << 21, 22, 4096, 4096
 _SPACE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
@@ -88,8 +92,31 @@ def edit_distance(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def closest_part(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int] | None:
+    """Edits, words and end in the stretch of the whole item, if that occurs with as many edits as may
+    be, or else of the part of PART words or more that occurs with the least edits per word, the
+    longest of those; None if no part occurs. All parts that begin anywhere are aligned side by side."""
+    n = len(item)
+    other = item[:, None] != stretch[None, :]
+    at = np.arange(len(stretch) + 1, dtype=np.int32)
+    rows = np.zeros((n - PART + 1, len(stretch) + 1), np.int32)
+    best = rank = None
+    for k in range(1, n + 1):
+        rows = rows[: n - k + 1]
+        after = rows + 1
+        np.minimum(after[:, 1:], rows[:, :-1] + other[k - 1 : k - 1 + len(rows)], out=after[:, 1:])
+        rows = np.minimum.accumulate(after - at, axis=1) + at
+        if k >= PART:
+            edits = rows.min(1)
+            s = int(edits.argmin())
+            e = int(edits[s])
+            if e <= k * EDITS and (k == n or best is None or (e / k, -k) < rank):
+                best, rank = (e, k, int(rows[s].argmin())), (e / k, -k)
+    return best
+
+
 class Patterns:
-    """Items and their parts, the runs of words that point to them, and their embeddings."""
+    """Items, the runs of words that point to them, and the embeddings of those shorter than PART."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         self.item, words = [], []
@@ -97,25 +124,24 @@ class Patterns:
             v = values(text)
             if len(v) < FEWEST:
                 continue
-            pieces = [v]
-            if len(v) >= 2 * PART:
-                pieces += np.array_split(v, len(v) // PART)
-            for piece in pieces:
-                self.item.append(item)
-                words.append(piece)
+            self.item.append(item)
+            words.append(v)
         self.words = words
         self.length = np.array([len(w) for w in words], np.int64)
         self.seeds = {q: self._seeds(q) for q in (2, 3)}
-        if words:
+        self.sorted = [np.unique(w) for w in words]
+        short = np.flatnonzero(self.length < PART)
+        if len(short):
             rng = np.random.default_rng(SEED)
-            steps = 3 * int(self.length.max())
+            size = np.where(self.length < PART, self.length, 0)
+            steps = 3 * int(size.max())
             self.walks = rng.integers(0, 1 << 63, (WALKS, steps), np.uint64)
             flat = np.concatenate(words)
             starts = np.cumsum(self.length) - self.length
-            self.embedded = np.stack([embed(flat, starts, starts + self.length, self.length, w) for w in self.walks], 1)
+            self.embedded = np.stack([embed(flat, starts, starts + size, size, w) for w in self.walks], 1)
             # how long each item's walks are: behind the end there is nothing to tell items by
             self.reach = np.maximum((self.embedded != 0).sum(2), 1)
-            n = self._repetitions(rng)
+            n = self._repetitions(rng, short)
             self.samples = rng.random((n, SAMPLE)), np.arange(n) % WALKS
 
     def _seeds(self, q: int):
@@ -129,9 +155,9 @@ class Patterns:
         held[(keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
         return keys[order], np.array([r[1] for r in rows], np.int64)[order], np.array([r[2] for r in rows], np.int64)[order], held
 
-    def _repetitions(self, rng) -> int:
-        """How many, so that items with as many edits as may be are met with probability RECALL."""
-        chosen = rng.choice(len(self.words), min(len(self.words), 64), replace=False)
+    def _repetitions(self, rng, short: np.ndarray) -> int:
+        """How many, so that short items with as many edits as may be are met with probability RECALL."""
+        chosen = rng.choice(short, min(len(short), 64), replace=False)
         edited = []
         for p in chosen.tolist():
             w = self.words[p].tolist()
@@ -157,7 +183,7 @@ class Patterns:
         return MOST_REPETITIONS if p <= 0 else int(min(max(np.ceil(np.log(1 - RECALL) / np.log1p(-min(p, 0.999))), 16), MOST_REPETITIONS))
 
     def find(self, text: np.ndarray, ends: np.ndarray):
-        """(text's number, pattern, edits, first word) for patterns that occur in the texts."""
+        """(text's number, pattern, edits, words looked for, first word) for patterns that occur in the texts."""
         row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         first = np.concatenate([[0], ends[:-1]])
         found = []
@@ -170,9 +196,11 @@ class Patterns:
             low, high = np.searchsorted(keys, g[at], "left"), np.searchsorted(keys, g[at], "right")
             n = high - low
             place = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            begin = np.repeat(at, n) - offset[place]
-            found.append(np.stack([pattern[place], begin, np.repeat(row[at], n)], 1))
-        if not found:
+            whole, at = self.length[pattern[place]] < PART, np.repeat(at, n)
+            found.append(np.stack([pattern[place], at - offset[place], row[at]], 1)[whole])
+            if not whole.all():
+                yield from self._parts(text, pattern[place][~whole], at[~whole], row[at][~whole], first, ends)
+        if not sum(map(len, found)):
             return
         windows = np.unique(np.concatenate(found), axis=0)
         near = [windows[:0]]
@@ -196,7 +224,39 @@ class Patterns:
             if edits <= allowed(self.length[q]) and ((d, q) not in best or edits < best[d, q][0]):
                 best[d, q] = (edits, max(start + end - int(self.length[q]), int(first[d])) - int(first[d]))
         for (d, q), (edits, at) in sorted(best.items()):
-            yield d, q, edits, at
+            yield d, q, edits, int(self.length[q]), at
+
+    def _parts(self, text, pattern, at, doc, first, ends):
+        """As find() has it, of the items of PART words or more and of their parts, from the places of
+        their three-word runs.
+
+        A part of m words with m // 4 edits keeps at least m - 2 - 3 * (m // 4) >= 2 of its runs and
+        m - m // 4 >= 10 of its words, and covers no more of the text than the item's words and a quarter."""
+        order = np.lexsort((at, pattern, doc))
+        pattern, at, doc = pattern[order], at[order], doc[order]
+        reach = self.length[pattern] + allowed(self.length[pattern])
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(doc) != 0) | (np.diff(pattern) != 0) | (np.diff(at) > reach[1:])
+        cut = np.flatnonzero(new)
+        last = np.append(cut[1:], len(at)) - 1
+        best: dict[tuple[int, int], tuple] = {}
+        for i, j in zip(cut.tolist(), last.tolist(), strict=True):
+            d, q, far = int(doc[i]), int(pattern[i]), int(reach[i])
+            if at[i] == at[j]:
+                continue
+            item, stop = self.words[q], min(int(at[j]) + far, int(ends[d]))
+            for a in range(max(int(at[i]) + 3 - far, int(first[d])), stop, STRETCH):
+                stretch = text[a : min(a + STRETCH + far, stop)]
+                known = self.sorted[q]
+                same = known[np.minimum(np.searchsorted(known, stretch), len(known) - 1)] == stretch
+                if same.sum() < PART - allowed(PART) or (part := closest_part(item, stretch)) is None:
+                    continue
+                edits, n, end = part
+                rank = (n < len(item), edits / n, -n)
+                if (d, q) not in best or rank < best[d, q][0]:
+                    best[d, q] = (rank, edits, n, max(a + end - n, int(first[d])) - int(first[d]))
+        for (d, q), (_, edits, n, start) in sorted(best.items()):
+            yield d, q, edits, n, start
 
     def _met(self, text, pattern, begin, low, high) -> np.ndarray:
         """Whether item and window agree in all positions of some repetition."""
@@ -267,7 +327,8 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, text_column: str = "t
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """doc_id, item_id, edits, n_words, start: of each item in each document that holds it, or a part
-    of it, the closest occurrence: its edits, the words looked for, and the word it starts at."""
+    of it, the closest occurrence, of the whole item if that occurs: its edits, the words looked for,
+    and the word it starts at."""
     source = pick(docs, doc_id=id_column, text=text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = "doc_id long, item_id long, edits long, n_words long, start long"
     out = None
@@ -282,10 +343,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
                 for a, b in row_groups(offsets, CHUNK_BYTES):
                     words, ends, _ = word_values(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     best: dict[tuple[int, int], tuple] = {}
-                    for row, k, edits, at in patterns.find(words, ends):
-                        n = int(patterns.length[k])
+                    for row, k, edits, n, at in patterns.find(words, ends):
                         key = (row, patterns.item[k])
-                        rank = (edits / n, -n)
+                        rank = (n < int(patterns.length[k]), edits / n, -n)
                         if key not in best or rank < best[key][0]:
                             best[key] = (rank, edits, n, at)
                     if best:

@@ -76,3 +76,36 @@ def test_edit_distance():
     for _ in range(30):
         item, text = rng.integers(0, 3, 6).astype(np.uint64), rng.integers(0, 3, 15).astype(np.uint64)
         assert decontaminate.edit_distance(item, text)[0] == closest(" ".join(map(str, item)), " ".join(map(str, text)))
+
+
+def test_passages_at_every_offset(spark, table):
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(4000)]
+    bench = [(n, rng.choices(words, k=n)) for n in (14, 25, 38, 59)]
+    other = lambda: rng.choices(words, k=rng.randrange(20, 40))
+    docs = []
+    for item, text in bench:
+        docs += [(item, 0, m, other() + text[a : a + m] + other()) for m in (13, 18, 22, 28) for a in range(item - m + 1)]
+        docs += [(item, 6, 24, other() + text[a : a + 9] + other()[:6] + text[a + 15 : a + 24] + other()) for a in range(item - 23)]
+    docs += [(None, 0, 12, other() + text[a : a + 12] + other()) for _, text in bench for a in range(len(text) - 11)]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in bench], "item_id long, text string")
+    data = table([(k, " ".join(d)) for k, (*_, d) in enumerate(docs)])
+    found = {r.doc_id: r for r in decontaminate.matches(data, frame).collect()}
+    assert {k: found[k].item_id for k in found if docs[k][0]} == {k: d[0] for k, d in enumerate(docs) if d[0]}
+    near = [(found[k], d) for k, d in enumerate(docs) if d[0]]
+    assert all(r.edits <= r.n_words // 4 and (r.n_words == d[0] or r.edits * d[2] <= d[1] * r.n_words) for r, d in near)
+    # twelve words left are a part of 13 with an edit, but where they are the item's last or first there is one, too
+    assert all(r.edits for k, r in found.items() if docs[k][0] is None)
+    assert decontaminate.without_matches(data, frame).count() == len(docs) - len(found)
+
+
+def test_closest_part():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(13, 20))
+        item = rng.integers(0, 40, n).astype(np.uint64)
+        text = np.concatenate([rng.integers(0, 40, 9).astype(np.uint64), item[rng.random(n) > 0.2], rng.integers(0, 40, 9).astype(np.uint64)])
+        parts = [(decontaminate.edit_distance(item[a:b], text)[0], b - a) for a in range(n) for b in range(a + 13, n + 1)]
+        near = [(k < n, e / k, -k, e) for e, k in parts if e <= k // 4]
+        found = decontaminate.closest_part(item, text)
+        assert (found and (found[0], found[1])) == (min(near)[3], -min(near)[2]) if near else found is None
