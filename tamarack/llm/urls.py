@@ -3,8 +3,10 @@
 Each host's paths form a tree of segments. Segments of a variable shape, and segments below a
 node that hardly ever sees one twice, become the wildcard ``*``; sibling branches that lead to the
 same templates and whose labelled shares of bad URLs are statistically alike are merged. A
-template whose smoothed purity - the share of bad URLs among its labelled ones, drawn towards an
-even prior - reaches a limit is rejected, and so are the URLs on it that no rule decides.
+template whose smoothed purity - the share of bad URLs among its labelled ones, drawn towards the
+purity of the node it branches from, that towards the next one's, and the host's towards an even
+prior - reaches a limit is rejected, and so are the URLs on it that no rule decides. Branches
+without labelled URLs so have the purity of the nearest node that has some.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, matches no rule
 and is judged as the empty template of the empty host; repeated rows count as often as they occur.
@@ -92,6 +94,16 @@ def templates(counts: DataFrame) -> DataFrame:
     return tree
 
 
+def _priors(of: DataFrame) -> DataFrame:
+    """host, _node, _prior: the smoothed purity of each node from which a family of templates branches."""
+    above = lambda path: F.transform(F.sequence(F.lit(0), F.size(path)), lambda k: F.slice(path, F.lit(1), k))
+    needed = of.select("host", "_node").distinct().withColumn("_above", F.explode(above(F.col("_node"))))
+    sums = of.select("host", F.explode(above(F.col("template"))).alias("_above"), "bad", "good").groupBy("host", "_above").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    ways = needed.join(sums, ["host", "_above"]).groupBy("host", "_node").agg(F.sort_array(F.collect_list(F.struct(F.size("_above"), "bad", "good"))).alias("_way"))
+    prior = F.aggregate("_way", F.lit(0.5), lambda p, x: (x["bad"] + p * SMOOTHING) / (x["bad"] + x["good"] + SMOOTHING))
+    return ways.select("host", "_node", prior.alias("_prior"))
+
+
 def rejected(tree: DataFrame) -> DataFrame:
     """host, shape of all that belong to a template whose merged purity is too high."""
     of = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
@@ -104,8 +116,9 @@ def rejected(tree: DataFrame) -> DataFrame:
     last = F.array_max(F.concat(constant, F.array(F.lit(-1))))
     family = F.transform("template", lambda x, i: F.when(i == last, "+").otherwise(x))
     of = of.withColumn("_last", last).withColumn("_alike", alike).withColumn("_family", F.when(F.col("_last") >= 0, family).otherwise(F.col("template")))
-    merged = of.groupBy("host", "_family", "_alike").agg(F.sum("bad").alias("_bad"), F.sum("good").alias("_good"))
-    purity = (F.col("_bad") + SMOOTHING / 2) / (F.col("_bad") + F.col("_good") + SMOOTHING)
+    of = stored(of.withColumn("_node", F.slice("template", F.lit(1), F.greatest("_last", F.lit(0)))), "urls")
+    merged = of.groupBy("host", "_family", "_node", "_alike").agg(F.sum("bad").alias("_bad"), F.sum("good").alias("_good")).join(_priors(of), ["host", "_node"])
+    purity = (F.col("_bad") + F.col("_prior") * SMOOTHING) / (F.col("_bad") + F.col("_good") + SMOOTHING)
     gone = merged.where(purity >= PURITY).select("host", "_family", "_alike")
     gone = of.join(gone, ["host", "_family", "_alike"], "left_semi").select("host", "template")
     return tree.join(gone, ["host", "template"], "left_semi").select("host", "shape")

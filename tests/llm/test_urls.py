@@ -50,5 +50,25 @@ def test_templates(spark):
     assert all(verdict[i] == ("block" if "h.org/spam" in u and "other" not in u else "allow") for i, (u, _) in enumerate(data))
 
 
+def test_branches_without_labels(spark):
+    data = [(f"http://a.com/en/{i}", True) for i in range(20)] + [("http://a.com/fr/1", None), ("http://a.com/fr/x/1", None), ("http://a.com/", None)]
+    data += [(f"http://b.com/en/{i}", False) for i in range(20)] + [("http://b.com/fr/1", None), ("http://c.com/fr/1", None)]
+    data += [(f"http://d.com/en/{i}", i % 2 == 0) for i in range(20)] + [("http://d.com/fr/1", None)]
+    # the nearest node that has labels decides, not the host
+    data += [(f"http://e.com/bad/en/{i}", True) for i in range(20)] + [(f"http://e.com/good/en/{i}", False) for i in range(20)]
+    data += [("http://e.com/bad/fr/1", None), ("http://e.com/good/fr/1", None), ("http://e.com/new/fr/1", None), ("http://f.com/en/1", True), ("http://f.com/fr/1", None)]
+    frame = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(data)], "page_id long, url string, b boolean")
+    label = F.coalesce(*(F.when(F.col("url").isin([u for u, b in data if b is x]), x) for x in (True, False)))
+    verdict = {r.page_id: r.verdict for r in urls.judge(frame, [], bad=label).collect()}
+    blocked = {u for i, (u, b) in enumerate(data) if b is None and verdict[i] == "block"}
+    assert blocked == {"http://a.com/fr/1", "http://a.com/fr/x/1", "http://a.com/", "http://e.com/bad/fr/1"}
+
+
+def test_rules_reach_pages_without_rule(spark):
+    data = [f"http://x.com/en/{i}" for i in range(5)] + ["http://x.com/fr/1"] + [f"http://x.net/de/{i}" for i in range(5)] + ["http://x.net/fr/1"]
+    found = urls.judge(spark.createDataFrame(list(enumerate(data)), "page_id long, url string"), URL_RULES).collect()
+    assert {data[r.page_id]: r.verdict for r in found if r.rule is None} == {"http://x.com/fr/1": "block", "http://x.net/fr/1": "allow"}
+
+
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
