@@ -7,7 +7,9 @@ held-out variants calibrates its probabilities, and the probability below which
 "unknown" is such that of held-out other paragraphs a thousandth pass at most. A family counts
 where one of its templates occurs in the paragraph with a quarter of its words in edits or fewer.
 
-Paragraphs are lines; longer ones than PIECE words are read in overlapping pieces of so many.
+Paragraphs are lines; longer ones than PIECE words are read in overlapping pieces of so many, and
+all in overlapping windows of the sizes of SHORT as well, so that a notice amid other words tells.
+The templates are held against a window and the words of its paragraph around it.
 
 Defined results: null and empty texts have no paragraphs and so no rows; repeated rows are
 reported as often as they occur; without a corpus to sample, the templates alone train the model.
@@ -27,7 +29,7 @@ from tamarack.llm.decontaminate import edit_distance, grams, values, word_values
 
 OTHER, UNKNOWN = "other", "unknown"
 SAMPLE_DOCS, SAMPLE_LINES, VARIANTS, STEPS, SEED = 400, 4000, 30, 150, 29
-PIECE, MOST_EDITS, PASS = 60, 0.25, 0.001
+PIECE, SHORT, MOST_EDITS, PASS = 60, (12, 30), 0.25, 0.001
 CHUNK_BYTES = 1 << 21
 
 # Notices by which works say that they are under a licence.
@@ -81,6 +83,21 @@ def pieces(words: np.ndarray) -> list[np.ndarray]:
     return [words[a : a + PIECE] for a in range(0, len(words) - PIECE // 2, PIECE // 2)]
 
 
+def windows(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Paragraph, first word and end of the pieces and the shorter windows of the paragraphs begin:end."""
+    length, each = end - begin, np.arange(len(begin))
+    found = []
+    for size, step in (*((n, n // 4) for n in SHORT), (PIECE, PIECE // 2)):
+        least = size - step if size == PIECE else size
+        count = np.where(length > size, -(-(length - least) // step) + (size != PIECE), size == PIECE)
+        of = np.repeat(each, count)
+        first = begin[of] + step * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+        if size != PIECE:  # the last one ends with the paragraph
+            first = np.minimum(first, end[of] - size)
+        found.append(np.stack([of, first, np.minimum(first + size, end[of])]))
+    return tuple(np.concatenate(found, 1))
+
+
 @dataclass
 class Model:
     families: list[str]
@@ -113,8 +130,22 @@ class Model:
         np.add.at(out, row, self.weights[place] * value[:, None])
         return out / self.temperature
 
+    def window_logits(self, words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """logits() of words[start:stop], from running sums of the weights of the known n-grams."""
+        out = np.zeros((len(start), len(self.families)))
+        for q in (1, 2, 3):
+            g = grams(words, q)
+            at = np.searchsorted(self.keys, g)
+            hit = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == g)
+            total = np.concatenate([np.zeros((1, out.shape[1])), np.cumsum(self.weights[at[hit]], 0)])
+            low = np.searchsorted(hit, start)
+            out += total[np.maximum(np.searchsorted(hit, stop - q + 1), low)] - total[low]
+        return (self.bias + out / np.sqrt(np.maximum(1, 3 * (stop - start) - 3))[:, None]) / self.temperature
+
     def probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
-        z = self.logits(rows)
+        return self.shares(self.logits(rows))
+
+    def shares(self, z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
@@ -123,8 +154,17 @@ def template_values() -> dict[str, list[np.ndarray]]:
     return {family: [values(t.encode()) for t in texts] for family, texts in TEMPLATES.items()}
 
 
-def variants(rng: np.random.Generator) -> tuple[list[np.ndarray], list[int]]:
+def variants(rng: np.random.Generator, other: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
+    """Of the templates, among as many words of paragraphs that are none as windows and pieces can hold."""
     rows, classes = [], []
+    text = np.concatenate([*other, np.zeros(0, np.uint64)])
+
+    def foreign(n):
+        if len(text) <= n or rng.random() < 0.5:
+            return rng.integers(0, 1 << 63, n, np.uint64)
+        a = int(rng.integers(len(text) - n))
+        return text[a : a + n]
+
     for k, texts in enumerate(template_values().values(), 1):
         for words in texts:
             for i in range(VARIANTS):
@@ -135,9 +175,11 @@ def variants(rng: np.random.Generator) -> tuple[list[np.ndarray], list[int]]:
                     w = w[a : a + n]
                 if i and len(w) > 5:
                     w = w[rng.random(len(w)) > 0.08]
-                if i and rng.random() < 0.6:
-                    before, after = (rng.integers(0, 1 << 63, int(rng.integers(0, 6)), np.uint64) for _ in range(2))
-                    w = np.concatenate([before, w, after])
+                if i and rng.random() < 0.8:
+                    size = int(rng.choice([len(w) + 5, *SHORT, PIECE]))
+                    room = int(rng.integers(max(size - len(w), 0) + 1))
+                    before = int(rng.integers(room + 1))
+                    w = np.concatenate([foreign(before), w, foreign(room - before)])
                 rows.append(w)
                 classes.append(k)
     return rows, classes
@@ -150,9 +192,11 @@ def train(other: list[np.ndarray]) -> Model:
     keys = np.unique(np.concatenate([grams(w, q) for ws in texts.values() for w in ws for q in (1, 2, 3)]))
     families = [OTHER, *texts]
     model = Model(families, keys, np.zeros((len(keys), len(families))), np.zeros(len(families)))
-    rows, classes = variants(rng)
     every = [w for ws in texts.values() for w in ws]
     other = [r for r in other if len(r) and not any(_holds(w, r) for w in every if np.isin(w, r).mean() > 0.7)]
+    rows, classes = variants(rng, other)
+    for n in SHORT:  # a window of each
+        other = [*other, *(r[a : a + n] for r in other if len(r) > n for a in [int(rng.integers(len(r) - n + 1))])]
     words = np.unique(np.concatenate(every))
     salad = [rng.choice(words, int(rng.integers(2, 20))) for _ in range(300)]  # licence words in no order
     foreign = [rng.integers(0, 1 << 63, int(rng.integers(1, 40)), np.uint64) for _ in range(300)]
@@ -229,21 +273,22 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 line = np.concatenate([[0], np.cumsum(own == 0x0A)])[begins]
                 firsts = np.concatenate([[0], np.cumsum(own == 0x0A)])[offsets[a:b] - offsets[a]]
                 cut = np.flatnonzero((np.diff(text) != 0) | (np.diff(line) != 0)) + 1
-                rows, of = [], []
-                for part, i, number in zip(np.split(words, cut), text[np.concatenate([[0], cut])].tolist(), (line - firsts[text - a])[np.concatenate([[0], cut])].tolist(), strict=True):
-                    for piece in pieces(part):
-                        rows.append(piece)
-                        of.append((i, number))
-                p = model.probabilities(rows)
+                begin, end = np.concatenate([[0], cut]), np.append(cut, len(words))
+                part, start, stop = windows(begin, end)
+                p = model.shares(model.window_logits(words, start, stop))
                 best: dict[tuple[int, int], tuple] = {}
                 for k in np.flatnonzero(p[:, 0] < 0.5).tolist():
                     family = int(p[k, 1:].argmax()) + 1
                     name = model.families[family]
-                    likeness = max(_holds(w, rows[k]) for w in texts[name])
+                    first = begin[part[k]]
+                    of = int(text[first]), int(line[first] - firsts[text[first] - a])
+                    far = 2 * max(map(len, texts[name]))
+                    around = words[max(start[k] - far, first) : min(stop[k] + far, end[part[k]])]
+                    likeness = max(_holds(w, around) for w in texts[name])
                     sure = p[k, family] >= model.least and likeness > 0
                     found = (sure, float(p[k, family]), likeness, name if sure else UNKNOWN)
-                    if of[k] not in best or found > best[of[k]]:
-                        best[of[k]] = found
+                    if of not in best or found > best[of]:
+                        best[of] = found
                 if best:
                     keys = sorted(best)
                     yield pa.RecordBatch.from_arrays(

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tamarack.llm import licenses
 
 
@@ -29,3 +31,40 @@ def test_families(table):
 def test_empty(table):
     assert licenses.scan(table([(1, "x")]).limit(0)).count() == 0
     assert licenses.scan(table([(1, None), (2, "")])).count() == 0
+
+
+def test_notices_amid_other_words(table):
+    rng = random.Random(15)
+    _, prose = rows()
+    data = []
+    for family, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            for n in (20, 30, 40, 55):
+                before = rng.randrange(n + 1)
+                data.append((len(data), f"{prose(before)} {text} {prose(n - before)}", family))
+    for text, family in (("Released under the MIT License.", "MIT"), ("Licensed under CC BY 4.0.", "CC-BY"), ("Licensed under the ISC License.", "ISC")):
+        data += [(len(data) + i, f"{prose(20)} {text} {prose(20)}", family) for i in range(10)]
+    clean = [(5000 + i, prose(20 + i)) for i in range(60)]
+    found = {r.doc_id: r.family for r in licenses.scan(table([(k, t) for k, t, _ in data] + clean)).collect() if r.family != licenses.UNKNOWN}
+    right = sum(found.get(k) == f for k, _, f in data)
+    assert right >= 0.98 * len(data) and all(found.get(k) == f for k, _, f in data[-30:])
+    assert not set(found) & {k for k, _ in clean}
+
+
+def test_windows():
+    rng = np.random.default_rng(16)
+    model = licenses.train([rng.integers(0, 1 << 63, 30, np.uint64) for _ in range(20)])
+    known = np.concatenate([w for ws in licenses.template_values().values() for w in ws])
+    length = np.array([1, 11, 12, 13, 29, 30, 31, 60, 61, 89, 90, 91, 200])
+    words = np.where(rng.random(length.sum()) < 0.5, known[np.arange(length.sum()) % len(known)], rng.integers(0, 1 << 63, length.sum(), np.uint64))
+    end = np.cumsum(length)
+    of, start, stop = licenses.windows(end - length, end)
+    assert all((start >= (end - length)[of]) & (stop <= end[of]) & (start < stop))
+    for k, n in enumerate(length.tolist()):
+        mine = words[end[k] - n : end[k]]
+        every = [words[a:b] for a, b in zip(start[of == k].tolist(), stop[of == k].tolist(), strict=True)]
+        for size in (*licenses.SHORT, licenses.PIECE):
+            step = size // 4 if size in licenses.SHORT else size // 2
+            for a in range(n - (size - step) + 1):  # whatever is no longer than that is in a window as a whole
+                assert any(len(w) <= max(size, 1) and mine[a : a + size - step].tobytes() in w.tobytes() for w in every)
+    assert np.allclose(model.window_logits(words, start, stop), model.logits([words[a:b] for a, b in zip(start, stop, strict=True)]))
