@@ -244,6 +244,18 @@ def _holds(template: np.ndarray, words: np.ndarray) -> float:
     return likeness if likeness >= 1 - MOST_EDITS else 0.0
 
 
+def settled(places: dict[tuple[str, int, int], tuple[float, float]]) -> dict[str, tuple[float, float]]:
+    """Probability and likeness of the families that occur in a paragraph, from where their templates
+    do. Templates of several families may be like the same words; there the likest one counts."""
+    kept: list[tuple[str, int, int]] = []
+    out: dict[str, tuple[float, float]] = {}
+    for (likeness, share), (name, a, b) in sorted(((found, place) for place, found in places.items()), reverse=True):
+        if not any(name != other and min(b, d) - max(a, c) > min(b - a, d - c) / 2 for other, c, d in kept):
+            kept.append((name, a, b))
+            out[name] = tuple(np.maximum(out.get(name, (0.0, 0.0)), (share, likeness)).tolist())
+    return out
+
+
 def sample(docs: DataFrame) -> list[np.ndarray]:
     """Paragraphs of SAMPLE_DOCS documents with the smallest hashes, SAMPLE_LINES at most."""
     order = F.xxhash64("text", F.lit(SEED))
@@ -254,7 +266,7 @@ def sample(docs: DataFrame) -> list[np.ndarray]:
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, paragraph (its number, from 0), family, probability, likeness: of every paragraph that
-    is likelier a licence than not; family is "unknown" where neither calibrated probability nor a
+    is likelier a licence than not, a row for each family that occurs in it; family is "unknown" where neither calibrated probability nor a
     template settles one, and likeness that of the family's closest template."""
     source = pick(docs, doc_id=id_column, text=text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     kept = docs.sparkSession.sparkContext.broadcast(train(sample(source)))
@@ -274,25 +286,45 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                 firsts = np.concatenate([[0], np.cumsum(own == 0x0A)])[offsets[a:b] - offsets[a]]
                 cut = np.flatnonzero((np.diff(text) != 0) | (np.diff(line) != 0)) + 1
                 begin, end = np.concatenate([[0], cut]), np.append(cut, len(words))
-                part, start, stop = windows(begin, end)
-                p = model.shares(model.window_logits(words, start, stop))
-                best: dict[tuple[int, int], tuple] = {}
-                for k in np.flatnonzero(p[:, 0] < 0.5).tolist():
-                    family = int(p[k, 1:].argmax()) + 1
-                    name = model.families[family]
-                    first = begin[part[k]]
-                    of = int(text[first]), int(line[first] - firsts[text[first] - a])
-                    far = 2 * max(map(len, texts[name]))
-                    around = words[max(start[k] - far, first) : min(stop[k] + far, end[part[k]])]
-                    likeness = max(_holds(w, around) for w in texts[name])
-                    sure = p[k, family] >= model.least and likeness > 0
-                    found = (sure, float(p[k, family]), likeness, name if sure else UNKNOWN)
-                    if of not in best or found > best[of]:
-                        best[of] = found
+                unknown: dict[tuple[int, int], tuple] = {}
+                places: dict[tuple[int, int], dict] = {}
+                while len(begin):
+                    part, start, stop = windows(begin, end)
+                    p = model.shares(model.window_logits(words, start, stop))
+                    taken: dict[int, set] = {}
+                    for k in np.flatnonzero(p[:, 0] < 0.5).tolist():
+                        family = int(p[k, 1:].argmax()) + 1
+                        name = model.families[family]
+                        first, last = int(begin[part[k]]), int(end[part[k]])
+                        of = int(text[first]), int(line[first] - firsts[text[first] - a])
+                        far = 2 * max(map(len, texts[name]))
+                        low = max(int(start[k]) - far, first)
+                        around = words[low : min(int(stop[k]) + far, last)]
+                        held = [(1 - edits / len(w), max(low + at - len(w), first), low + at) for w in texts[name] for edits, at in [edit_distance(w, around)] if edits <= MOST_EDITS * len(w)]
+                        share = float(p[k, family])
+                        if share >= model.least and held:
+                            for likeness, *place in held:
+                                mine = places.setdefault(of, {})
+                                mine[name, *place] = max(mine.get((name, *place), (0.0, 0.0)), (likeness, share))
+                                taken.setdefault(int(part[k]), set()).add(tuple(place))
+                        else:
+                            unknown[of] = max(unknown.get(of, (0.0, 0.0)), (share, max((h[0] for h in held), default=0.0)))
+                    # what is left beside a notice is read again without it, as a louder one drowns its neighbour
+                    gaps = []
+                    for k, found in taken.items():
+                        at = int(begin[k])
+                        for low, high in [*sorted(found), (int(end[k]), 0)]:
+                            if low > at:
+                                gaps.append((at, low))
+                            at = max(at, high)
+                    begin, end = np.array(gaps, np.int64).reshape(-1, 2).T
+                best = {(*of, UNKNOWN): found for of, found in unknown.items() if of not in places}
+                for of, mine in places.items():
+                    best |= {(*of, name): found for name, found in settled(mine).items()}
                 if best:
                     keys = sorted(best)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([i for i, _ in keys])), pa.array([n for _, n in keys], pa.int32()), pa.array([best[k][3] for k in keys]), pa.array([best[k][1] for k in keys]), pa.array([best[k][2] for k in keys])],
+                        [batch.column(0).take(pa.array([i for i, *_ in keys])), pa.array([n for _, n, _ in keys], pa.int32()), pa.array([f for *_, f in keys]), pa.array([best[k][0] for k in keys]), pa.array([best[k][1] for k in keys])],
                         ["doc_id", "paragraph", "family", "probability", "likeness"],
                     )
 

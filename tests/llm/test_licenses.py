@@ -68,3 +68,20 @@ def test_windows():
             for a in range(n - (size - step) + 1):  # whatever is no longer than that is in a window as a whole
                 assert any(len(w) <= max(size, 1) and mine[a : a + size - step].tobytes() in w.tobytes() for w in every)
     assert np.allclose(model.window_logits(words, start, stop), model.logits([words[a:b] for a, b in zip(start, stop, strict=True)]))
+
+
+def test_several_licences_in_a_paragraph(table):
+    _, prose = rows()
+    texts = licenses.TEMPLATES
+    data = [
+        (f"{texts['MIT'][0]} {texts['Apache-2.0'][0]}", {"MIT", "Apache-2.0"}),
+        (f"{prose(30)} {texts['GPL'][0]} {prose(8)} {texts['MPL-2.0'][0]} {prose(40)} {texts['CC-BY-NC'][1]} {prose(100)} All rights reserved.", {"GPL", "MPL-2.0", "CC-BY-NC", "Proprietary"}),
+        (f"{texts['CC-BY'][0]} {prose(20)} {texts['CC-BY-SA'][0]}", {"CC-BY", "CC-BY-SA"}),
+        (" ".join(f"{t[0]} {prose(25)}" for t in texts.values()), set(texts)),
+        # one notice that two families' templates are like
+        *((f"{prose(10)} {t} {prose(10)}", {f}) for f, ts in texts.items() for t in ts),
+    ]
+    found = {}
+    for r in licenses.scan(table([(k, t) for k, (t, _) in enumerate(data)])).collect():
+        found.setdefault(r.doc_id, []).append(r.family)
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(f) for k, (_, f) in enumerate(data)}
