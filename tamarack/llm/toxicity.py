@@ -6,15 +6,18 @@ as clean) - p * R+(toxic as clean)); where the second part turns negative, its g
 instead, which keeps the model from fitting the unlabelled toxic documents as clean.
 
 Training uses a bounded sample: POSITIVES toxic and UNLABELLED other documents, those with the
-smallest hashes of their ids. Every document is scored, over its whole text.
+smallest hashes of their ids. How often each feature occurs in it is counted on the executors; the
+driver gets the features that tell, and of the sample those alone. Every document is scored, over
+its whole text.
 
 Defined results: a null or empty text has no features and gets the score of the bias; a null id
-belongs to no training row and isn't held out; repeated rows get equal scores.
+belongs to no training row and isn't held out; repeated rows get equal scores. An id is confirmed
+if any of its labels is 1; other labels and null count as not 1. Of an id with several texts, one
+text (that with the least features in byte order) may be learnt from, and each is scored.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from dataclasses import dataclass
 
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import passed_through, pick, row_groups, text_bytes
+from tamarack.llm.common import passed_through, pick, release, row_groups, stored, text_bytes
 
 POSITIVES, UNLABELLED, BITS = 3000, 9000, 18
 #: A feature counts if so many confirmed documents have it, so many times the
@@ -35,25 +38,12 @@ CACHE_ENTRIES, CACHED_WORD_BYTES, CHUNK_BYTES = 1 << 18, 40, 1 << 21
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
-class _Features(dict):
+def word_features(word: bytes) -> tuple[int, ...]:
     """A word's features: itself, and its beginnings of four, five and six bytes if it is longer."""
+    import xxhash
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        import xxhash
-
-        mask = (1 << BITS) - 1
-        names = [b"w" + word, *(b"p" + word[:n] for n in (4, 5, 6) if len(word) > n)]
-        out = tuple(xxhash.xxh3_64_intdigest(x) & mask for x in names)
-        if len(word) <= CACHED_WORD_BYTES:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = out
-        return out
-
-
-@functools.cache
-def _features() -> _Features:
-    return _Features()
+    names = [b"w" + word, *(b"p" + word[:n] for n in (4, 5, 6) if len(word) > n)]
+    return tuple(xxhash.xxh3_64_intdigest(x) & ((1 << BITS) - 1) for x in names)
 
 
 def words_of(text: bytes) -> set[bytes]:
@@ -62,46 +52,66 @@ def words_of(text: bytes) -> set[bytes]:
 
 def features(text: bytes) -> np.ndarray:
     """The distinct hashed features of the whole text."""
-    known = _features()
-    return np.array(sorted({f for w in words_of(text) for f in known[w]}), np.int32)
+    return np.array(sorted({f for w in words_of(text) for f in word_features(w)}), np.int32)
 
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    """The features with a weight, ascending, their weights, and the bias."""
+
+    used: np.ndarray
+    values: np.ndarray
     bias: float
 
     def scores(self, texts: list[bytes], cache: dict) -> np.ndarray:
         """``cache``: of the words met so far, the features with a weight."""
-        out, known, weights = np.empty(len(texts)), _features(), self.weights
+        out, weights = np.empty(len(texts)), dict(zip(self.used.tolist(), self.values.tolist(), strict=True))
         for i, text in enumerate(texts):
             heavy: set[int] = set()
             for w in words_of(text):
                 if (own := cache.get(w)) is None:
-                    own = tuple(f for f in known[w] if weights[f])
+                    own = tuple(f for f in word_features(w) if f in weights)
                     if len(cache) < CACHE_ENTRIES and len(w) <= CACHED_WORD_BYTES:
                         cache[w] = own
                 if own:
                     heavy.update(own)
-            out[i] = self.bias + sum(float(weights[f]) for f in sorted(heavy))
+            out[i] = self.bias + sum(weights[f] for f in sorted(heavy))
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
+def tells(toxic, other, positives: int, unlabelled: int, sqrt):
+    """Whether a feature that so many documents of either kind have tells for toxicity; numpy arrays or columns."""
+    p, u = (toxic + 0.5) / (positives + 1), (other + 0.5) / (unlabelled + 1)
+    error = sqrt(u * (1 - u) * (1 / positives + 1 / unlabelled))
+    return (toxic >= max(LEAST, SHARE * positives)) & (p >= RATIO * u) & (p - u >= SIGMAS * error)
+
+
+def risk(z: np.ndarray, is_pos: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of the scores z, and how it pulls on each. Where the unlabelled part is below
+    zero, that part's gradient is reversed and stands alone."""
+    z = np.clip(z, -60, 60)
+    s, cost = 1 / (1 + np.exp(-z)), np.logaddexp(0, z)  # of calling a clean document toxic
+    share = np.where(is_pos, 1 / max(is_pos.sum(), 1), 1 / max((~is_pos).sum(), 1))
+    clean = np.where(is_pos, -prior * s, s) * share
+    rest = float((np.where(is_pos, -prior * cost, cost) * share).sum())
+    toxic = float((np.where(is_pos, prior * (cost - z), 0) * share).sum())
+    if rest >= 0:
+        return toxic + rest, clean + np.where(is_pos, -prior * (1 - s), 0) * share
+    return toxic, -clean
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS) -> Model:
     """Non-negative risk, logistic loss, Adam on mini-batches. Evidence only adds up: features that
     tell for toxicity get weights of zero or more, so that a text's length doesn't hide them, and a text without evidence is no likelier toxic than
     the prior. No positives: everything is clean."""
     if not positive or not unlabelled:
-        return Model(np.zeros(1 << BITS, np.float32), -4.0)
+        return Model(np.zeros(0, np.int64), np.zeros(0), -4.0)
     rng = np.random.default_rng(SEED)
 
     def counted(rows):
         return np.bincount(np.concatenate(rows), minlength=1 << BITS).astype(float)
 
-    toxic, other = counted(positive), counted(unlabelled)
-    p, u = (toxic + 0.5) / (len(positive) + 1), (other + 0.5) / (len(unlabelled) + 1)
-    error = np.sqrt(u * (1 - u) * (1 / len(positive) + 1 / len(unlabelled)))
-    telling = (toxic >= max(LEAST, SHARE * len(positive))) & (p >= RATIO * u) & (p - u >= SIGMAS * error)
+    telling = tells(counted(positive), counted(unlabelled), len(positive), len(unlabelled), np.sqrt)
     used = np.flatnonzero(telling)
     place = np.zeros(1 << BITS, np.int64)
     place[used] = np.arange(len(used))
@@ -116,15 +126,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         flat = np.concatenate([rows[i] for i in take])
         owner = np.repeat(np.arange(len(take)), size)
         z = np.bincount(owner, w[flat], len(take)) + b
-        z = np.clip(z, -60, 60)
-        s, cost = 1 / (1 + np.exp(-z)), np.logaddexp(0, z)  # of calling a clean document toxic
-        is_pos = np.arange(len(take)) < len(pos)
-        share = np.where(is_pos, 1 / len(pos), 1 / len(unl))
-        clean = np.where(is_pos, -prior * s, s) * share
-        if cost[~is_pos].mean() - prior * cost[is_pos].mean() >= 0:
-            pull = clean + np.where(is_pos, -prior * (1 - s), 0) * share
-        else:
-            pull = -clean
+        _, pull = risk(z, np.arange(len(take)) < len(pos), prior)
         grad = np.bincount(flat, pull[owner], len(used)) + DECAY * w
         gb = pull.sum()
         mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad**2
@@ -132,43 +134,87 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         fix = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         w = np.maximum(w - fix * mean / (np.sqrt(var) + 1e-8), 0)
         b = min(b - fix * bm / (np.sqrt(bv) + 1e-8), most)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = np.where(np.abs(w) < 1e-3, 0, w)
-    return Model(weights, float(b))
+    heavy = np.abs(w) >= 1e-3
+    return Model(used[heavy], w[heavy], float(b))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _sample(rows: DataFrame, most: int) -> list[np.ndarray]:
+def _learnt_from(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """positive, features binary: of each of the ``chosen`` ids (doc_id, positive) that ``rows`` has."""
+
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             out = [features(data[offsets[i] : offsets[i + 1]].tobytes()).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["features"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "positive", "features"])
+        release()
+
+    own = rows.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "positive")  # ids of a bounded number
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return own.mapInArrow(run, f"doc_id {kind}, positive boolean, features binary").groupBy("doc_id", "positive").agg(F.min("features").alias("features"))
+
+
+def _counted(sample: DataFrame) -> DataFrame:
+    """feature, toxic, other: in how many documents of either kind each feature occurs."""
+
+    def run(batches):
+        total = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            kind = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets) // 4)
+            total += np.bincount(kind << BITS | data.view(np.int32), minlength=2 << BITS).reshape(2, -1)
+        at = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[1, at]), pa.array(total[0, at])], ["feature", "toxic", "other"])
+        release()
+
+    parts = sample.select("positive", "features").mapInArrow(run, "feature long, toxic long, other long")
+    return parts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+
+
+def _kept(sample: DataFrame, telling: np.ndarray) -> dict[bool, list[np.ndarray]]:
+    """Of each document of the sample those of its features that tell, by whether it is confirmed."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            own = data.view(np.int32)
+            tell = np.isin(own, telling)
+            ends = np.concatenate([[0], np.cumsum(tell)])[offsets // 4].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(own[tell]))], ["positive", "features"])
 
-    got = rows.select("text").mapInArrow(run, "features binary").limit(most).toLocalIterator()
-    return [np.frombuffer(bytes(r.features), np.int32) for r in got]
+    out: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    for r in sample.select("positive", "features").mapInArrow(run, "positive boolean, features array<int>").orderBy("positive", "features").collect():
+        out[r.positive].append(np.array(r.features, np.int32))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
-    """A model from the documents outside the held-out fold; the driver gets features of
-    POSITIVES + UNLABELLED documents at most. The prior is the labelled share of toxic documents."""
+    """A model from the documents outside the held-out fold; the driver gets the telling features of
+    POSITIVES + UNLABELLED documents at most. The prior is the share of confirmed ones among the ids with labels."""
     rows = pick(docs, doc_id=id_column, text=text_column).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = pick(labels, doc_id=id_column, toxic=label_column).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    shares = known.agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("long")).alias("k")).first()
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("toxic"))
+    shares = known.agg(F.count("*").alias("n"), F.count_if("toxic").alias("k")).first()
     prior = min(max((shares.k or 0) / shares.n, 0.001), 0.5) if shares.n else 0.05
     order = F.xxhash64(F.col("doc_id"), F.lit(SEED))
-    toxic = known.where(F.col("toxic") == 1).join(rows.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id").distinct().orderBy(order, "doc_id").limit(POSITIVES)
-    rest = rows.select("doc_id").distinct().orderBy(order, "doc_id").limit(UNLABELLED)
-    sets = [rows.join(F.broadcast(ids), "doc_id", "left_semi") for ids in (toxic, rest)]  # ids of a bounded number
-    return train(*(_sample(x, most) for x, most in zip(sets, (2 * POSITIVES, 2 * UNLABELLED), strict=True)), prior)
+    there = rows.select("doc_id").distinct()
+    toxic = known.where("toxic").select("doc_id").join(there, "doc_id", "left_semi").orderBy(order, "doc_id").limit(POSITIVES)
+    rest = there.orderBy(order, "doc_id").limit(UNLABELLED)
+    chosen = toxic.select("doc_id", F.lit(True).alias("positive")).unionByName(rest.select("doc_id", F.lit(False).alias("positive")))
+    sample = stored(_learnt_from(rows, chosen), "sample")
+    n = {r.positive: r.n for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return train([], [], prior)
+    telling = _counted(sample).where(tells(F.col("toxic"), F.col("other"), n[True], n[False], F.sqrt)).select("feature").collect()
+    kept = _kept(sample, np.array(sorted(r.feature for r in telling), np.int32))
+    return train(kept[True], kept[False], prior)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, score: the model is sent to the executors, 2**BITS weights."""
-    kept = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id, score: the model goes with the tasks, the few features that have a weight."""
 
     def run(batches):
         cache: dict = {}
@@ -176,8 +222,10 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             data, offsets = text_bytes(batch.column(1))
             out = []
             for a, b in row_groups(offsets, CHUNK_BYTES):
-                out.append(kept.value.scores([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)], cache))
+                out.append(model.scores([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)], cache))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else [], pa.float64())], ["doc_id", "score"])
+        cache.clear()
+        release()
 
     source = pick(docs, doc_id=id_column, text=text_column)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
@@ -185,16 +233,18 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that score under one half."""
-    kept = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_column, text_column))
+    model = fit(docs, labels, id_column, text_column)
     place = docs.columns.index(text_column)
 
     def run(batches):
         cache: dict = {}
         for batch in batches:
             data, offsets = text_bytes(batch.column(place))
-            out = [kept.value.scores([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)], cache) for a, b in row_groups(offsets, CHUNK_BYTES)]
+            out = [model.scores([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)], cache) for a, b in row_groups(offsets, CHUNK_BYTES)]
             if out:
                 yield batch.filter(pa.array(np.concatenate(out) < 0.5))
+        cache.clear()
+        release()
 
     return passed_through(docs, run)
 

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from tamarack.llm import toxicity
 
 
@@ -49,3 +51,42 @@ def test_without_labels_or_documents(spark, table):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.classify(table(docs[:20]), none).collect()} == {0}
     assert toxicity.classify(table(docs).limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
+def test_risk_and_its_gradient_against_sums_and_differences():
+    rng = np.random.default_rng(3)
+    is_pos = np.arange(40) < 12
+    for shift, prior in ((0.0, 0.2), (1.5, 0.4), (-2.0, 0.1), (-3.0, 0.45)):
+        z = rng.normal(0, 2, 40) + np.where(is_pos, 3.0, shift)
+        value, pull = toxicity.risk(z, is_pos, prior)
+
+        def parts(z, prior=prior):
+            as_toxic = sum(np.log1p(np.exp(-x)) for x in z[is_pos]) / 12
+            as_clean = sum(np.log1p(np.exp(x)) for x in z[is_pos]) / 12
+            return prior * as_toxic, sum(np.log1p(np.exp(x)) for x in z[~is_pos]) / 28 - prior * as_clean
+
+        toxic, rest = parts(z)
+        assert abs(value - (toxic + max(rest, 0))) < 1e-9
+        for i in range(40):
+            step = np.eye(40)[i] * 1e-5
+            up, down = parts(z + step), parts(z - step)
+            wanted = (sum(up) - sum(down)) / 2e-5 if rest >= 0 else -(up[1] - down[1]) / 2e-5
+            assert abs(pull[i] - wanted) < 1e-6
+
+
+def test_posterior_of_a_tiny_model():
+    """One feature, in all confirmed and in a tenth of the unlabelled documents, at a prior of a tenth:
+    whoever has it is toxic, whoever hasn't is clean."""
+    with_it, without = np.array([5], np.int32), np.array([9], np.int32)
+    model = toxicity.train([with_it] * 60, [with_it] * 40 + [without] * 360, 0.1, steps=2000)
+    assert model.used.tolist() == [5]
+    odds = model.bias + model.values[0]
+    assert 1 / (1 + np.exp(-odds)) > 0.9 and 1 / (1 + np.exp(-model.bias)) < 0.05
+
+
+def test_contradicting_labels_and_several_texts_of_an_id(spark, table):
+    docs, labels = rows()
+    twice = [*labels, *((k, 0) for k, y in labels if y), *((k, 7) for k, y in labels if not y)]
+    more = [*docs, *((i, t) for i, t in docs if i % 3 == 0), (1, "other words of this id")]
+    a, b = ({r.doc_id: r.predicted for r in toxicity.classify(table(x), spark.createDataFrame(y, "doc_id long, toxic int")).orderBy("doc_id", "score").collect()} for x, y in ((docs, labels), (more, twice)))
+    assert sum(a[i] != b[i] for i in a if i != 1) <= 0.02 * len(a)
