@@ -27,18 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import numbered, partitions, pick, stored, text_bytes
-from tamarack.llm.components import components
+from tamarack.llm.common import discard, new_path, numbered, partitions, pick, release, stored, text_bytes
+from tamarack.llm.components import components, stars
 
 WORDS, BANDS, ROWS = 5, 32, 4
 COORDINATES = BANDS * ROWS
 #: A link takes NEAR hundredths of the union in common.
 NEAR = 75
-#: Of the 2-bit sketches of COORDINATES values, so many must agree: 4.5 standard deviations less than a
-#: similarity of 0.75 gives on average (81 % of them), so about one link in 10**5 is missed here.
-AGREE = 84
-#: Nodes of a block, where sketches alone are held and where whole sets are.
-BLOCK, LINK_BLOCK = 1024, 256
+#: Of the 2-bit sketches of COORDINATES values, so many must agree: six standard deviations less than a
+#: similarity of 0.75 gives on average (81 % of them), so about one link in 10**9 is missed here - far
+#: fewer than the 5 in 10**6 that share no band.
+AGREE = 77
+#: Nodes of a block, where sketches alone are held and where whole sets are; links that a task holds at a time.
+BLOCK, LINK_BLOCK, HELD_LINKS = 1024, 256, 1 << 20
 CACHE_ENTRIES, CACHED_WORD_BYTES = 1 << 17, 48
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -143,8 +144,9 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                     ],
                     ["doc_id", "n_shingles", "class", "bands", "sketch"],
                 )
+        release()
 
-    source = pick(docs, doc_id=id_column, text=text_column)
+    source = pick(docs, doc_id=id_column, text=text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     return source.mapInArrow(run, "doc_id long, n_shingles long, class binary, bands array<long>, sketch binary")
 
 
@@ -190,8 +192,9 @@ def _link_forest(sketch: np.ndarray, sets: list[np.ndarray]):
 
 
 def _forests(groups: DataFrame, block: int, with_sets: bool) -> DataFrame:
-    """a, b: the forest of each group (key, node, size, sketch[, shingles]). Groups of over ``block``
-    nodes are dealt into blocks, each pair of which is looked at together."""
+    """a, b: links that join the same nodes as the forests of the groups (key, node, size, sketch[, shingles]);
+    a task's forests are put together, so that few links leave it. Groups of over ``block`` nodes are dealt
+    into blocks, each pair of which is looked at together."""
 
     def forest(part: pa.Table):
         node = part.column("node").to_numpy()
@@ -202,8 +205,7 @@ def _forests(groups: DataFrame, block: int, with_sets: bool) -> DataFrame:
         else:
             pairs = _close_forest(sketch)
         found = np.array(list(pairs), np.int64).reshape(-1, 2)
-        x, y = node[found[:, 0]], node[found[:, 1]]
-        return np.minimum(x, y), np.maximum(x, y)
+        return node[found[:, 0]], node[found[:, 1]]
 
     def cuts(table: pa.Table) -> np.ndarray:
         k, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
@@ -211,21 +213,30 @@ def _forests(groups: DataFrame, block: int, with_sets: bool) -> DataFrame:
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+        links: list[tuple[np.ndarray, np.ndarray]] = []
 
         def forests(table: pa.Table, at: list[int]):
-            out = [forest(table.slice(a, b - a)) for a, b in zip(at[:-1], at[1:], strict=True) if b - a > 1]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k in (0, 1)], ["a", "b"])
+            links.extend(forest(table.slice(a, b - a)) for a, b in zip(at[:-1], at[1:], strict=True) if b - a > 1)
+
+        def joined():
+            found = stars(*(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in links)]) for k in (0, 1)))
+            links.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
                 table = pa.Table.from_batches([*held, batch])
                 at = [0, *cuts(table).tolist()]
-                yield from forests(table, at)
+                forests(table, at)
                 held = table.slice(at[-1]).combine_chunks().to_batches()  # the last group may go on
+                if sum(len(x) for x, _ in links) > HELD_LINKS:
+                    yield joined()
         if held:
             table = pa.Table.from_batches(held)
-            yield from forests(table, [0, table.num_rows])
+            forests(table, [0, table.num_rows])
+        yield joined()
+        held.clear()
+        release()
 
     dealt = groups.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
@@ -234,7 +245,7 @@ def _forests(groups: DataFrame, block: int, with_sets: bool) -> DataFrame:
     dealt = dealt.where((F.col("blocks") == 1) | (F.col("block") != F.col("other")))
     columns = ["key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "sketch", *(["shingles"] if with_sets else [])]
     dealt = dealt.select(*columns).repartition(partitions(groups.sparkSession), "key", "i", "j")
-    return dealt.sortWithinPartitions("key", "i", "j", F.xxhash64("node"), "node").mapInArrow(run, "a long, b long").distinct()
+    return dealt.sortWithinPartitions("key", "i", "j", F.xxhash64("node"), "node").mapInArrow(run, "a long, b long")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -255,8 +266,9 @@ def links(clusters: DataFrame, docs: DataFrame, id_column: str = "doc_id", text_
             for a in range(0, batch.num_rows, 512):
                 out = [shingle_set(data[offsets[i] : offsets[i + 1]].tobytes()).tobytes() for i in range(a, min(a + 512, batch.num_rows))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, len(out)) for c in range(1, 5)), pa.array(out, pa.binary())], ["key", "node", "size", "sketch", "shingles"])
+        release()
 
-    texts = pick(docs, node=id_column, text=text_column).join(clusters.hint("merge"), "node").select("text", "key", "node", "size", "sketch")
+    texts = pick(docs, node=id_column, text=text_column).withColumn("node", F.col("node").cast("long")).join(clusters.hint("merge"), "node").select("text", "key", "node", "size", "sketch")
     return _forests(texts.mapInArrow(run, "key long, node long, size long, sketch binary, shingles binary"), LINK_BLOCK, with_sets=True)
 
 
@@ -265,9 +277,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stored(signatures(docs), "signatures")
     classes = rows.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     cluster = components(candidates(classes))
-    cluster = cluster.join(cluster.groupBy("component").agg(F.count("*").alias("size")), "component")
-    cluster = cluster.join(classes.select("node", "sketch"), "node").select(F.col("component").alias("key"), "node", "size", "sketch")
-    of = components(links(stored(cluster, "clusters"), docs))
+    paths = [new_path(docs.sparkSession, "clusters") for _ in range(2)]
+    # written down, so that a large cluster's rows can be split where they are joined
+    sizes = stored(cluster.groupBy("component").agg(F.count("*").alias("size")), "sizes", paths[0])
+    cluster = cluster.join(sizes.hint("merge"), "component").join(classes.select("node", "sketch").hint("merge"), "node")
+    cluster = stored(cluster.select(F.col("component").alias("key"), "node", "size", "sketch"), "clusters", paths[1])
+    of = components(links(cluster, docs))
+    for path in paths:
+        discard(docs.sparkSession, path)
     known = classes.select("class", "node").join(of, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "class").join(known, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
