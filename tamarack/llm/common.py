@@ -39,9 +39,11 @@ def passed_through(df: DataFrame, run: Callable) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a temporary one only where the session names none."""
+    """The folder that all machines share; a temporary one only where the session names none and runs on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the machines share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tamarack-')}")
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")

@@ -1,10 +1,12 @@
 """Removal of repeated word sequences: a compressed FM-index per shard.
 
 A shard's slices, as word numbers, form one text. Its Burrows-Wheeler transform is held as a
-wavelet matrix of packed bits with counts per 64 of them; backward search extends a match one word
-to the left per step, all slices side by side. While the interval stands for two occurrences or
-more the match goes on, so the steps give the matching statistics of each slice: the longest
-repeated string that ends at a place. Strings of WIDTH words or more are reported.
+wavelet matrix of packed bits with counts per 64 of them, and a further bit a symbol tells which
+suffixes are in slices that occur more than once; the suffixes' order itself isn't kept. Backward
+search extends a match one word to the left per step, all slices side by side. While the interval
+stands for two occurrences or more the match goes on, so the steps give the matching statistics of
+each slice: the longest repeated string that ends at a place. Strings of WIDTH words or more are
+reported.
 
 Texts are dealt to the shards as :mod:`tamarack.llm.windows` describes. Every word covered by a
 repeated window goes, and windows are judged on the input.
@@ -44,10 +46,12 @@ class Bits:
 
 
 class FMIndex:
-    """Of a text of numbers, 0 ends each string; suffixes are ordered by their first ``depth`` symbols."""
+    """Of a text of numbers, 0 ends each string; suffixes are ordered by their first ``depth`` symbols.
+    ``often``: of each symbol's place, whether what is there stands for several occurrences; none does by default."""
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, depth: int, often: np.ndarray | None = None):
         n = len(text)
+        often = np.zeros(n, bool) if often is None else often
         rank, known = text.astype(np.int64), 1
         while True:
             both = rank << 32
@@ -61,7 +65,7 @@ class FMIndex:
             known *= 2
             if known >= depth or change[-1] == n - 1:
                 break
-        self.order = order
+        self.often = np.packbits(often[order], bitorder="little")
         last = text[order - 1]
         self.size, top = n, int(text.max())
         self.levels: list[tuple[int, Bits]] = []
@@ -86,6 +90,11 @@ class FMIndex:
         shift = self.smaller[symbol] - self.origin[symbol]
         return at[: len(symbol)] + shift, at[len(symbol) :] + shift
 
+    def recurs(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the intervals stand for two occurrences or more."""
+        one = np.minimum(low, self.size - 1)
+        return (high - low > 1) | ((high - low == 1) & (self.often[one >> 3] >> (one & 7).astype(np.uint8) & 1 > 0))
+
 
 def kernel(slices: list[bytes], weights: np.ndarray, width: int = WIDTH) -> list[list[tuple[int, int]]]:
     """The ranges that windows with two occurrences or more, by weight, cover in each slice."""
@@ -101,9 +110,7 @@ def kernel(slices: list[bytes], weights: np.ndarray, width: int = WIDTH) -> list
     starts = np.cumsum(size + 1) - size - 1
     text = np.zeros(int(size.sum()) + len(lists), np.int64)
     text[np.arange(len(flat)) + owner] = renamed[flat]
-    index = FMIndex(text, width)
-    of = np.concatenate([np.repeat(np.arange(len(lists)), size + 1)])
-    total = np.concatenate([[0], np.cumsum(weights[of[index.order]])])
+    index = FMIndex(text, width, np.repeat(weights > 1, size + 1))
     out: list[list[tuple[int, int]]] = [[] for _ in lists]
     lane = np.arange(len(lists))
     end, at = size.copy(), size.copy()
@@ -111,7 +118,7 @@ def kernel(slices: list[bytes], weights: np.ndarray, width: int = WIDTH) -> list
     while len(lane):
         symbol = text[starts[lane] + at - 1]
         low2, high2 = index.extend(symbol, low, high)
-        more = (symbol > 1) & (total[high2] - total[low2] > 1)
+        more = (symbol > 1) & index.recurs(low2, high2)
         at = np.where(more, at - 1, at)
         low, high = low2, high2
         ended = ~more | (at == 0)

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import discard, new_path, numbered, partitions, pick, release, row_groups, stored, text_bytes
 from tamarack.llm.minhash import mix, word_hashes
 
-#: log2 of the bits of the table of minimizers that occur again; 16 MB are sent to the executors.
-TABLE_BITS, SEGMENTS = 27, 64
+#: log2 of the bits of the table of minimizers that occur again: 16 MB in a task, which are sent as
+#: compressed segments, so that what passes through the driver is small while the table is thin.
+TABLE_BITS, SEGMENTS, CODEC = 27, 64, "zstd"
 #: Symbols that a shard's kernel gets at a time, unless one minimizer has more; slices held to be combined.
 SHARD_SYMBOLS, COMBINE = 1 << 20, 1 << 15
 CHUNK_BYTES = 1 << 20
@@ -136,8 +137,8 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return pick(docs, doc_id=id_column, text=text_column).withColumn("digest", F.xxhash64("text"))
 
 
-def _again(texts: DataFrame, kind: Kind) -> np.ndarray:
-    """The bit table of the minimizers that occur more than once."""
+def _again(texts: DataFrame, kind: Kind) -> dict[int, bytes]:
+    """The bit table of the minimizers that occur more than once: compressed segments by their number."""
     bits, spark = TABLE_BITS, texts.sparkSession
 
     def minimizers(batches):
@@ -160,13 +161,20 @@ def _again(texts: DataFrame, kind: Kind) -> np.ndarray:
                 own = slot[(slot >> size) == segment] & ((1 << size) - 1)
                 np.bitwise_or.at(parts.setdefault(segment, np.zeros((1 << size) // 8, np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
         for segment, held in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([held.tobytes()], pa.binary())], ["segment", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([pa.compress(held.tobytes(), CODEC, asbytes=True)], pa.binary())], ["segment", "bits"])
 
     again = texts.select("text").mapInArrow(minimizers, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
     slots = again.select(F.col("m").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).withColumn("segment", F.shiftright("slot", bits - SEGMENTS.bit_length() + 1))
-    out = np.zeros((1 << bits) // 8, np.uint8).reshape(SEGMENTS, -1)
-    for r in slots.repartition(min(SEGMENTS, partitions(spark)), "segment").select("slot").mapInArrow(table, "segment int, bits binary").collect():
-        out[r.segment] |= np.frombuffer(bytes(r.bits), np.uint8)
+    # a segment is put together in one task
+    parts = slots.repartition(min(SEGMENTS, partitions(spark)), "segment").select("slot").mapInArrow(table, "segment int, bits binary")
+    return {r.segment: bytes(r.bits) for r in parts.toLocalIterator()}
+
+
+def _table(segments: dict[int, bytes]) -> np.ndarray:
+    size = (1 << TABLE_BITS) // 8 // SEGMENTS
+    out = np.zeros((SEGMENTS, size), np.uint8)
+    for segment, held in segments.items():
+        out[segment] = np.frombuffer(pa.decompress(held, size, CODEC), np.uint8)
     return out.reshape(-1)
 
 
@@ -176,7 +184,7 @@ def _slices(texts: DataFrame, kind: Kind, table) -> DataFrame:
     def run(batches):
         import xxhash
 
-        held = table.value
+        held = _table(table.value)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for a, b in row_groups(offsets, CHUNK_BYTES):
@@ -277,7 +285,8 @@ def covered(docs: DataFrame, kind: Kind, kernel: Kernel, id_column: str = "doc_i
     slices = stored(_slices(texts, kind, table), "slices", path)
     table.destroy()
     found = _repeated(slices, kernel)
-    of = slices.select("m", "hash", "doc_id", "digest", "start").join(found, ["m", "hash"]).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "ranges")).alias("found"))
+    # rows of one id and text have equal slices, which count once here
+    of = slices.select("m", "hash", "doc_id", "digest", "start").join(found, ["m", "hash"]).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "ranges")).alias("found"))
     of = stored(of, "found")
     discard(spark, path)
     if rest:

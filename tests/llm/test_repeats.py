@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tamarack.llm import fmindex, suffixarray
+from tamarack.llm import fmindex, suffixarray, windows
 from tamarack.llm.windows import gram_hashes, runs, sliding_least
 
 
@@ -100,3 +100,11 @@ def test_runs_cover_every_window_once():
     assert windows == [i for s, e in zip(starts, ends, strict=True) for i in range(s, e - kind.width + 1)]
     grams = gram_hashes(values, kind.gram)
     assert (sliding_least(grams, kind.span)[windows] == np.repeat(m, length)).all() and (hits >= 1).all()
+
+
+def test_equal_rows_gather_as_much_as_two_of_them(table):
+    """What is gathered for a row doesn't grow with the number of rows that equal it."""
+    text = " ".join(f"w{i * 7 % 90}" for i in range(120))
+    few, many = (windows.covered(table([(None, text)] * n + [(1, text)]), fmindex.KIND, fmindex.kernel).collect() for n in (2, 300))
+    assert len(many) == 301 and {len(r.starts) for r in many} == {len(r.starts) for r in few}
+    assert all(windows.spans(r.starts, r.ranges) == [(0, 120)] for r in many)
