@@ -5,7 +5,7 @@ the canonical rule, so a table of one byte per id describes them. A file set is
 
 * ``header``: one row - magic, version, bits of the longest code, ids per checkpoint, lengths;
 * ``blocks``: a row per block - shard, place in the shard, ids before it in the shard, the
-  documents with their numbers of ids, the bit offset of every STRIDE-th id (32 bits each), and the bits.
+  documents with their numbers of ids, the bit offset of every STRIDE-th id (64 bits each), and the bits.
 
 Shards follow one another in ascending doc_id order (null first), and so do the documents in
 them. A block holds whole documents and can be read by itself; all lanes between its checkpoints
@@ -25,10 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import discard, new_path, partitions, pick, row_groups, stored, text_bytes
+from tamarack.llm.common import discard, new_path, partitions, pick, release, row_groups, stored, text_bytes
 
-MAGIC, VERSION, MAX_BITS, STRIDE, BLOCK_IDS = "THUF", 1, 18, 128, 1 << 19
-CHUNK_BYTES, CACHE_ENTRIES, WORD_ENTRIES, CACHED_CHUNK_BYTES = 1 << 21, 1 << 19, 1 << 19, 64
+MAGIC, VERSION, MAX_BITS, STRIDE, BLOCK_IDS = "THUF", 2, 18, 128, 1 << 19
+CHUNK_BYTES, CACHE_ENTRIES, CACHED_BYTES = 1 << 22, 1 << 20, 64
+_SPACE, _ALNUM, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_ALNUM[[c for c in range(0x80) if chr(c).isalnum()]] = True
+_MARK[list(b".,;:!?")] = True
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -122,24 +128,71 @@ def unpack(data: bytes, marks: np.ndarray, n: int, table: tuple[np.ndarray, np.n
     return out.T.reshape(-1)[:n]
 
 
+def _ragged(starts: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each stretch, end to end."""
+    return np.arange(int(width.sum())) + np.repeat(starts - (np.cumsum(width) - width), width)
+
+
+class Known:
+    """Pieces of text and their ids, by the pieces' hashes; all in arrays. When there are too many, the
+    half that hasn't been asked for the longest goes."""
+
+    def __init__(self, dtype: str, entries: int = CACHE_ENTRIES):
+        self.entries, self.now = entries, 0
+        self.keys, self.text, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, dtype)
+        self.at, self.width, self.begin, self.n, self.used = (np.zeros(0, np.int64) for _ in range(5))
+
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """The number of each piece data[start : start + width], or -1."""
+        self.now += 1
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.flatnonzero((self.keys[place] == keys) & (self.width[place] == width))
+        same = self.text[_ragged(self.at[place[hit]], width[hit])] == data[_ragged(starts[hit], width[hit])]
+        if not same.all():
+            hit = hit[np.logical_and.reduceat(same, np.cumsum(width[hit]) - width[hit])]
+        out = np.full(len(keys), -1)
+        out[hit] = place[hit]
+        self.used[place[hit]] = self.now
+        return out
+
+    def add(self, keys: np.ndarray, pieces: list[bytes], ids: list[bytes]) -> None:
+        """Pieces that aren't known, by ascending keys."""
+        if len(self.keys) + len(keys) > self.entries:
+            kept = np.sort(np.argsort(-self.used, kind="stable")[: self.entries // 2])
+            self.text, self.ids = self.text[_ragged(self.at[kept], self.width[kept])], self.ids[_ragged(self.begin[kept], self.n[kept])]
+            self.keys, self.width, self.n, self.used = self.keys[kept], self.width[kept], self.n[kept], self.used[kept]
+            self.at, self.begin = np.cumsum(self.width) - self.width, np.cumsum(self.n) - self.n
+        place = np.searchsorted(self.keys, keys)
+        width = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.ids.itemsize
+        self.at = np.insert(self.at, place, len(self.text) + np.cumsum(width) - width)
+        self.begin = np.insert(self.begin, place, len(self.ids) + np.cumsum(n) - n)
+        self.width, self.n, self.used = np.insert(self.width, place, width), np.insert(self.n, place, n), np.insert(self.used, place, self.now)
+        self.keys = np.insert(self.keys, place, keys)
+        self.text = np.append(self.text, np.frombuffer(b"".join(pieces), np.uint8))
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(ids), self.ids.dtype))
+
+
 class Words:
-    """The tokenizer's ids by runs without ASCII white space.
+    """The tokenizer's ids by pieces without ASCII white space.
 
     The vocabulary drops white space and marks the ends of words, and its normalisation never
-    reaches across U+0020 or U+0009-U+000D, so a text's ids are those of its runs end to end. A
-    run of Latin letters, with full stops and the like behind them or not, is the ids of the
-    letters and those of the marks; words of letters go through the tokenizer many to a call, and
-    the ids that end a word part them again.
+    reaches across U+0020 or U+0009-U+000D, so a text's ids are those of its runs end to end. A full
+    stop and the like behind a letter or digit begins a match of its pattern as well, and A-Z count as
+    a-z except in its special tokens, which begin with "<". Pieces are found and told apart as arrays
+    over many texts; only those that aren't known go through the tokenizer, words of Latin letters
+    many to a call, parted again by the ids that end a word.
     """
 
-    MARKS = b".,;:!?"
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.runs, self.letters, self.marks = Tokenizer.from_file(path), {}, {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.dtype = id_type(self.tokenizer)
+        self.known = Known(self.dtype)
         ends = {i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[list(ends)] = True
@@ -149,10 +202,10 @@ class Words:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
+    def _words(self, words: list[str]) -> list[bytes]:
         out, width = [], np.dtype(self.dtype).itemsize
         for a in range(0, len(words), 256):
-            part = [w.decode() for w in words[a : a + 256]]
+            part = words[a : a + 256]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             stops = (np.flatnonzero(self.ends[ids]) + 1) * width
             if len(stops) == len(part) and stops[-1] == ids.nbytes:
@@ -162,44 +215,94 @@ class Words:
                 out += self._ids(part)
         return out
 
-    def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of runs that aren't known; long ones are left out of the cache."""
-        cores = [run.rstrip(self.MARKS).lower() for run in runs]
-        new = [c for c in set(cores) if c not in self.letters and 0 < len(c) <= CACHED_CHUNK_BYTES and not c.decode().translate(self.latin)]
-        if len(self.letters) + len(new) > WORD_ENTRIES:
-            self.letters.clear()
-            new = [c for c in set(cores) if 0 < len(c) <= CACHED_CHUNK_BYTES and not c.decode().translate(self.latin)]
-        self.letters.update(zip(new, self._words(new), strict=True))
-        known, other, extra = self.letters, [], {}
-        for run, core in zip(runs, cores, strict=True):
-            if (ids := known.get(core)) is None or len(run) > CACHED_CHUNK_BYTES:
-                other.append(run)
-            elif len(core) == len(run):
-                self.runs[run] = ids
-            else:
-                marks = run[len(core) :]
-                if marks not in self.marks:
-                    self.marks[marks] = self._ids([marks.decode()])[0]
-                self.runs[run] = ids + self.marks[marks]
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, from the tokenizer."""
+        texts = [x.decode() for x in pieces]
+        letters = [i for i, x in enumerate(texts) if not x.translate(self.latin)]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(letters, self._words([texts[i] for i in letters]), strict=True):
+            out[i] = ids
+        other = sorted(set(range(len(texts))).difference(letters))
         for a in range(0, len(other), 4096):
             part = other[a : a + 4096]
-            for run, ids in zip(part, self._ids([x.decode() for x in part]), strict=True):
-                (self.runs if len(run) <= CACHED_CHUNK_BYTES else extra)[run] = ids
-        if len(self.marks) > CACHE_ENTRIES:
-            self.marks.clear()
-        return extra
+            for i, ids in zip(part, self._ids([texts[i] for i in part]), strict=True):
+                out[i] = ids
+        return out
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' bytes with A-Z as a-z but in runs with "<", and where each piece begins and ends."""
+        space = np.ones(len(data) + 2, bool)
+        space[1:-1] = _SPACE[data]
+        begins, stops = ~space[1:-1] & space[:-2], ~space[1:-1] & space[2:]
+        edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
+        begins[edges] = ~space[1:-1][edges]
+        stops[edges - 1] = ~space[1:-1][edges - 1]
+        low = _LOWER[data]
+        if (data == 0x3C).any():
+            run = np.cumsum(begins)
+            special = np.zeros(int(run[-1]) + 1, bool)
+            special[run[data == 0x3C]] = True
+            low = np.where(special[run], data, low)
+        letter = _ALNUM[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut = np.flatnonzero(_MARK[data[1:]] & letter[:-1] & ~begins[1:])
+        begins[cut + 1] = True
+        stops[cut] = True
+        return low, np.flatnonzero(begins), np.flatnonzero(stops) + 1
 
     def encode(self, texts: list[bytes], end_id: int) -> list[bytes]:
         """Little-endian ids of each text, ``end_id`` last."""
-        runs = [x.split() for x in texts]
-        new = {x for run in runs for x in run if x not in self.runs}
-        if len(self.runs) + len(new) > CACHE_ENTRIES:
-            self.runs.clear()
-            new = {x for run in runs for x in run}
-        extra = self._learn(list(new)) if new else {}
-        known = self.runs | extra if extra else self.runs
-        end = np.array([end_id], self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, run)) + end for run in runs]
+        offsets = np.cumsum([0, *map(len, texts)])
+        ids, ends = self.encode_all(np.frombuffer(b"".join(texts), np.uint8), offsets, end_id)
+        return [x.tobytes() for x in np.split(ids, ends[:-1])]
+
+    def encode_all(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts data[offsets[i] : offsets[i + 1]] end to end, ``end_id`` behind each, and
+        where each text's ids end."""
+        texts = len(offsets) - 1
+        data, starts, stops = self._pieces(data, offsets)
+        if not len(starts):
+            return np.full(texts, end_id, self.dtype), np.arange(1, texts + 1)
+        width = stops - starts
+        begin, size, ids = self._found(data, starts, width)
+        behind = np.concatenate([[0], np.cumsum(size)])
+        ends = behind[np.searchsorted(starts, offsets[1:])] + np.arange(1, texts + 1)
+        out = np.empty(int(behind[-1]) + texts, self.dtype)
+        own = np.ones(len(out), bool)
+        own[ends - 1] = False
+        out[own] = ids[_ragged(begin, size)]
+        out[ends - 1] = end_id
+        return out, ends
+
+    def _found(self, data: np.ndarray, starts: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each piece's ids begin in the ids that come third, and how many they are.
+
+        Pieces are told apart by 64-bit hashes; should two that differ share one, all are learnt one by one."""
+        at, first = _ragged(starts, width), np.cumsum(width) - width
+        place = np.cumprod(np.full(int(width.max()), 0xD1342543DE82EF95, np.uint64))
+        held = data[at]
+        hashes = np.add.reduceat(_BYTE[held] * place[at - np.repeat(starts, width)], first) + width.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        if not ((width == width[first][number]).all() and (held == data[_ragged(starts[first][number], width)]).all()):
+            every = self.learn([raw[a : a + n] for a, n in zip(starts.tolist(), width.tolist(), strict=True)])
+            size = np.fromiter(map(len, every), np.int64, len(every)) // np.dtype(self.dtype).itemsize
+            return np.cumsum(size) - size, size, np.frombuffer(b"".join(every), self.dtype)
+        starts, width = starts[first], width[first]
+        of = self.known.find(keys, data, starts, width)
+        new = np.flatnonzero(of < 0)
+        pieces = [raw[a : a + n] for a, n in zip(starts[new].tolist(), width[new].tolist(), strict=True)]
+        learnt = self.learn(pieces)
+        n = np.fromiter(map(len, learnt), np.int64, len(learnt)) // np.dtype(self.dtype).itemsize
+        ids = np.append(self.known.ids, np.frombuffer(b"".join(learnt), self.dtype))
+        begin, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        old = of >= 0
+        begin[old], size[old] = self.known.begin[of[old]], self.known.n[of[old]]
+        begin[new], size[new] = len(self.known.ids) + np.cumsum(n) - n, n
+        # long pieces would make the cache's size unbounded; a key may be another piece's
+        short = np.flatnonzero((width[new] <= CACHED_BYTES) & ~np.isin(keys[new], self.known.keys, assume_unique=True))
+        self.known.add(keys[new[short]], [pieces[i] for i in short], [learnt[i] for i in short])
+        return begin[number], size[number], ids
 
 
 def id_type(tokenizer) -> str:
@@ -221,10 +324,12 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id",
         tokenizer = words(path)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            out = []
             for a, b in row_groups(offsets, CHUNK_BYTES):
-                out += tokenizer.encode([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)], end_id)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                ids, ends = tokenizer.encode_all(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
+                at = np.concatenate([[0], ends]) * ids.itemsize
+                held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), held.cast(pa.binary())], ["doc_id", "ids"])
+        release()
 
     source = pick(docs, doc_id=id_column, text=text_column)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids binary")
@@ -271,7 +376,7 @@ def write(tokens: DataFrame, counts: np.ndarray, path: str, dtype: str) -> None:
         def flush():
             ids = np.concatenate(parts) if parts else np.zeros(0, dtype)
             bits, marks = pack(ids, lengths, code)
-            values = [[shard], [block], [before], [keys], [[len(x) for x in parts]], [len(ids)], [marks.astype("<u4").tobytes()], [bits]]
+            values = [[shard], [block], [before], [keys], [[len(x) for x in parts]], [len(ids)], [marks.astype("<u8").tobytes()], [bits]]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
@@ -309,7 +414,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         table = decode_table(np.frombuffer(packed, np.uint8))
         for batch in batches:
             for r in batch.to_pylist():
-                ids = unpack(r["bits"], np.frombuffer(r["marks"], "<u4").astype(np.int64), r["n_ids"], table).astype("<u4")
+                ids = unpack(r["bits"], np.frombuffer(r["marks"], "<u8").astype(np.int64), r["n_ids"], table).astype("<u4")
                 size = np.array(r["sizes"], np.int64)
                 at = np.cumsum(size) - size
                 start = bases[r["shard"]] + r["before"] + at

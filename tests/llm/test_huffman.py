@@ -57,3 +57,20 @@ def test_files(spark, table, tmp_path, monkeypatch):
         start += len(ids)
     empty = huffman.write_corpus(table(rows).limit(0), PATH, 2, f"file://{tmp_path}/none")
     assert huffman.checksums(huffman.read(spark, empty)).count() == 0
+
+
+def test_many_texts_like_the_library():
+    """Marks, cases, contractions, special tokens, scripts; the cache small enough to forget."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    whole, words = Tokenizer.from_file(PATH), huffman.Words(PATH)
+    words.known.entries = 200
+    rng = random.Random(4)
+    parts = ["Word", "word", "WORD", "é", "É", "e\u0301", "\u0301", "ß", "İ", "Σ", "ς", "ΟΔΟΣ", "×", "ﬁ", "中文", "🙂", "12", ".5", ".", ",", "!?", "'s", "'S", "'", "'tis", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<", "|", "_", "-", "</w>", "\u00a0", "\u2028", "\x1c", "\x85", "\u0130x", " ", " ", " ", "\n", "\t"]
+    parts += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüñçéèÀÉ", k=rng.randint(1, 9))) for _ in range(300)]
+    for _ in range(40):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(20)]
+        for text, found in zip(texts, words.encode([t.encode() for t in texts], 2), strict=True):
+            assert np.frombuffer(found, words.dtype).tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2], text
