@@ -15,18 +15,20 @@ import base64
 import functools
 import hashlib
 import heapq
-from itertools import chain, islice
+import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tamarack.llm.common import pick, row_groups, text_bytes
+from tamarack.llm.common import pick, release, row_groups, text_bytes
 
-#: Bytes of text that one array pass covers, and slices that a worker's cache holds.
-CHUNK_BYTES = 1 << 20
-CACHE_ENTRIES = 1 << 19
+#: Bytes of text that one array pass covers. When so many slices are new in a worker's cache, those
+#: that haven't been asked for since the last time go.
+CHUNK_BYTES = 1 << 21
+CACHE_ENTRIES = 1 << 18
 #: Slices of up to WIDE bytes are merged many at a time; longer ones singly and, beyond
 #: CACHED_SLICE_BYTES, anew each time, so that the cache's memory has a bound.
 WIDE, CACHED_SLICE_BYTES = 32, 64
@@ -185,10 +187,11 @@ class Vocabulary:
         for piece, rank in self.ranks.items():
             self.bytes_of[rank] = piece
         self.widths = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
-        self.digits = [b"%d" % i for i in range(len(self.bytes_of))]
+        self.held = Strings(self.bytes_of)
+        self.digits = Strings([b"%d," % i for i in range(len(self.bytes_of))])
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)])
         self.pairs = Pairs(self.ranks)
-        self.cache = _Merged(self)
+        self.cache, self.older = _Merged(self), {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Lowest rank first, the leftmost of equals, from a heap over linked parts."""
@@ -223,8 +226,11 @@ class Vocabulary:
         """Merge the pieces of up to WIDE bytes together, a merge of each in every round, and
         put them into the cache."""
         if len(self.cache) + len(pieces) > CACHE_ENTRIES:
+            self.older = dict(self.cache)
             self.cache.clear()
-        pieces = sorted((x for x in pieces if len(x) <= WIDE), key=len)
+        again = {x: ids for x in pieces if (ids := self.older.get(x)) is not None}
+        self.cache.update(again)
+        pieces = sorted((x for x in pieces if len(x) <= WIDE and x not in again), key=len)
         for a in range(0, len(pieces), 2048):
             part = pieces[a : a + 2048]
             for piece, ids in zip(part, self._merged(part), strict=True):
@@ -260,37 +266,64 @@ class Vocabulary:
             ranks[row[inner], at[inner] - 1] = self.pairs.find(ids[row[inner], at[inner] - 1], best[inner])
         return out
 
-    def slices(self, texts: list[str]) -> tuple[list[bytes], list[tuple[int, ...]], list[list[int]]]:
-        """The distinct slices of the texts, the ids of each, and for each text the places of its
-        slices among them.
+    def slices(self, texts: list[str]) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
+        """The ids of each distinct slice of the texts, the number of every slice among those, and how
+        many slices each text has.
 
         Slices are told apart by 64-bit hashes. Should two that differ share one, the texts put
         together from the slices differ from the texts, and the slices are compared instead."""
         data, starts, ends, counts = boundaries(texts)
         if not len(starts):
-            return [], [], [[] for _ in texts]
+            return [], np.zeros(0, np.int64), counts
         _, first, place = np.unique(_hashes(data, starts, ends), return_index=True, return_inverse=True)
         found = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        place = place.tolist()
-        if b"".join([found[i] for i in place]) != "".join(texts).encode("utf-8", "surrogatepass"):
+        if b"".join([found[i] for i in place.tolist()]) != "".join(texts).encode("utf-8", "surrogatepass"):
             every = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             number = {x: i for i, x in enumerate(dict.fromkeys(every))}
-            found, place = list(number), [number[x] for x in every]
+            found, place = list(number), np.array([number[x] for x in every], np.int64)
         known = list(map(self.cache.get, found))
         if None in known:
             self.learn([x for x, ids in zip(found, known, strict=True) if ids is None])
-            known = list(map(self.cache.__getitem__, found))
-        last = np.cumsum(counts).tolist()
-        return found, known, [place[b - n : b] for b, n in zip(last, counts.tolist(), strict=True)]
+            known = [self.cache[x] if ids is None else ids for x, ids in zip(found, known, strict=True)]
+        return known, place, counts
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, where in its text's bytes each begins, and the len + 1 places
+        where the texts' ids begin."""
+        known, place, counts = self.slices(texts)
+        n = np.fromiter(map(len, known), np.int64, len(known))
+        ids = np.fromiter(chain.from_iterable(known), np.int64, int(n.sum()))[ragged((np.cumsum(n) - n)[place], n[place])]
+        at = np.concatenate([[0], np.cumsum(n[place])])[np.concatenate([[0], np.cumsum(counts)])]
+        behind = np.concatenate([[0], np.cumsum(self.widths[ids])])
+        return ids, behind[:-1] - np.repeat(behind[at[:-1]], np.diff(at)), at
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        _, ids, rows = self.slices(texts)
-        return [list(chain.from_iterable([ids[i] for i in row])) for row in rows]
+        ids, _, at = self.encode_all(texts)
+        return [x.tolist() for x in np.split(ids, at[1:-1])]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
+def ragged(starts: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each stretch, end to end."""
+    return np.arange(int(width.sum())) + np.repeat(starts - (np.cumsum(width) - width), width)
+
+
+class Strings:
+    """Byte strings by number."""
+
+    def __init__(self, strings: list[bytes]):
+        self.width = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.at, self.data = np.cumsum(self.width) - self.width, np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, numbers: np.ndarray, at: np.ndarray) -> tuple[memoryview, list[int]]:
+        """The strings of the numbers end to end, and where those of each group begin that begins ``at``."""
+        width = self.width[numbers]
+        places = np.concatenate([[0], np.cumsum(width)])[at]
+        return memoryview(self.data[ragged(self.at[numbers], width)]), places.tolist()
+
+
 def _hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each slice: of its bytes by place, and of its length."""
     width = ends - starts
@@ -372,9 +405,8 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
         for batch in batches:
             keys, column = batch.column(0), batch.column(1)
             for first, texts in _parts(column):
-                ids = words.encode(texts)
-                at = [(np.cumsum(width) - width).astype(np.int32) for width in (words.widths[x] for x in ids)]
-                yield pa.RecordBatch.from_arrays([keys.slice(first, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32()))], ["doc_id", "ids", "offsets"])
+                ids, offsets, at = words.encode_all(texts)
+                yield pa.RecordBatch.from_arrays([keys.slice(first, len(texts)), _lists(ids, at), _lists(offsets, at)], ["doc_id", "ids", "offsets"])
 
     source = pick(docs, doc_id=id_column, text=text_column)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, offsets array<int>")
@@ -392,27 +424,35 @@ def decode(tokens: DataFrame, path: str, id_column: str = "doc_id", ids_column:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of what encode and decode give, made
-    where the ids are, so that these need not leave the worker; ``with_ids``: the ids as well."""
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int32)))
 
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
+
+def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_crc32: digests of the ids, of the bytes that
+    decoding the ids gives, and of where each id's bytes begin (little-endian 32-bit numbers), made where
+    the ids are, so that these need not leave the worker; ``with_ids``: ids and offsets as well."""
 
     def run(batches):
         words = vocabulary(path)
-        digits, pieces = words.digits.__getitem__, words.bytes_of.__getitem__
         for batch in batches:
-            n, ids_hash, bytes_hash, every = [], [], [], []
-            for _, texts in _parts(batch.column(1)):
-                _, ids, rows = words.slices(texts)
-                size, text_of, bytes_of = list(map(len, ids)), [b",".join(map(digits, x)) for x in ids], [b"".join(map(pieces, x)) for x in ids]
-                if with_ids:
-                    every += [np.fromiter(chain.from_iterable([ids[i] for i in row]), np.int32) for row in rows]
-                for row in rows:
-                    n.append(sum([size[i] for i in row]))
-                    ids_hash.append(hashlib.sha256(b",".join([text_of[i] for i in row])).hexdigest())
-                    bytes_hash.append(hashlib.sha256(b"".join([bytes_of[i] for i in row])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(bytes_hash, pa.string()), *([pa.array(every, pa.list_(pa.int32()))] if with_ids else [])], names)
+            for first, texts in _parts(batch.column(1)):
+                ids, offsets, at = words.encode_all(texts)
+                decoded, places = words.held.joined(ids, at)
+                digits, commas = words.digits.joined(ids, at)
+                marks = memoryview(offsets.astype("<i4")).cast("B")
+                places, ends = list(zip(places, places[1:], strict=False)), at.tolist()
+                columns = [
+                    batch.column(0).slice(first, len(texts)),
+                    pa.array(np.diff(at)),
+                    pa.array([hashlib.sha256(digits[a : b - 1] if b > a else b"").hexdigest() for a, b in zip(commas, commas[1:], strict=False)], pa.string()),
+                    pa.array([hashlib.sha256(decoded[a:b]).hexdigest() for a, b in places], pa.string()),
+                    pa.array([zlib.crc32(marks[4 * a : 4 * b]) for a, b in zip(ends, ends[1:], strict=False)], pa.int64()),
+                    *([_lists(ids, at), _lists(offsets, at)] if with_ids else []),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_crc32", *(["ids", "offsets"] if with_ids else [])])
+        release()
 
     source = pick(docs, doc_id=id_column, text=text_column)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")
+    more = ", ids array<int>, offsets array<int>" if with_ids else ""
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_crc32 long{more}")
