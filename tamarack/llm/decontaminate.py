@@ -9,15 +9,18 @@ Of shorter items, a window of a document, as long as the item, is a candidate wh
 words with the item in the same place; every window within a quarter of the item's words in edits
 has such a run. A CGK random walk maps item and window to sequences whose Hamming distance follows
 their edit distance: the walk writes the word it stands on and steps on by a random bit of the word.
-Windows that agree with the item in all of SAMPLE positions of some repetition go on to the edit
-distance proper. How many repetitions reach RECALL is measured on items with as many edits as may be.
+Windows that agree with the item in all sampled positions of some repetition go on to the edit
+distance proper. How often items with as many edits as may be agree is measured, the worst of them
+counts, and of up to SAMPLE positions a repetition as many are taken as reach RECALL in
+MOST_REPETITIONS; where even one position doesn't, every candidate goes on. Items of fewer than
+FEWEST words are looked for without edits.
 
 Words are compared without ASCII punctuation, and without regard to case in A-Z and Latin-1. Items are
 sent to the executors in blocks of BLOCK_WORDS words at most.
 
-Defined results: null and empty texts hold nothing; items of fewer than FEWEST words, which are no
-passage, are passed over, as are null ids of items; repeated rows are reported as often as they
-occur; an empty benchmark or corpus gives no rows.
+Defined results: null and empty texts hold nothing, and items without words occur nowhere; null ids
+of items are passed over; repeated rows are reported as often as they occur; an empty benchmark or
+corpus gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import passed_through, pick, row_groups, text_bytes
 from tamarack.llm.minhash import LOWER, mix
 
-#: Edits per word of the item, the fewest words of an item, the least words of a part of one.
+#: Edits per word of the item, the fewest words of an item that may have any, the least words of a part of one.
 EDITS, FEWEST, PART = 0.25, 5, 13
 WALKS, SAMPLE, RECALL, MOST_REPETITIONS, SEED = 4, 3, 0.99, 512, 17
 BLOCK_WORDS, CHUNK_BYTES, FILTER_BITS, LANES, STRETCH = 1 << 20, 1 << 21, 22, 4096, 4096
@@ -75,7 +78,8 @@ def values(text: bytes) -> np.ndarray:
 
 
 def allowed(length):
-    return np.floor(np.asarray(length) * EDITS).astype(np.int64)
+    length = np.asarray(length)
+    return np.where(length < FEWEST, 0, np.floor(length * EDITS)).astype(np.int64)
 
 
 def edit_distance(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
@@ -122,13 +126,13 @@ class Patterns:
         self.item, words = [], []
         for item, text in items:
             v = values(text)
-            if len(v) < FEWEST:
+            if not len(v):
                 continue
             self.item.append(item)
             words.append(v)
         self.words = words
         self.length = np.array([len(w) for w in words], np.int64)
-        self.seeds = {q: self._seeds(q) for q in (2, 3)}
+        self.seeds = {q: self._seeds(q) for q in (1, 2, 3)}
         self.sorted = [np.unique(w) for w in words]
         short = np.flatnonzero(self.length < PART)
         if len(short):
@@ -141,13 +145,13 @@ class Patterns:
             self.embedded = np.stack([embed(flat, starts, starts + size, size, w) for w in self.walks], 1)
             # how long each item's walks are: behind the end there is nothing to tell items by
             self.reach = np.maximum((self.embedded != 0).sum(2), 1)
-            n = self._repetitions(rng, short)
-            self.samples = rng.random((n, SAMPLE)), np.arange(n) % WALKS
+            n, positions = self._repetitions(rng, short)
+            self.samples = (rng.random((n, positions)), np.arange(n) % WALKS) if n else None
 
     def _seeds(self, q: int):
         """Hashes of q-word runs of the patterns that need runs of q words, each with its pattern and offset."""
         k = allowed(self.length)
-        own = np.where(self.length // (k + 1) >= 3, 3, 2)
+        own = np.clip(self.length // (k + 1), 1, 3)
         rows = [(h, p, o) for p in np.flatnonzero(own == q).tolist() for o, h in enumerate(grams(self.words[p], q).tolist())]
         keys = np.array([r[0] for r in rows], np.uint64)
         order = np.argsort(keys, kind="stable")
@@ -155,8 +159,9 @@ class Patterns:
         held[(keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
         return keys[order], np.array([r[1] for r in rows], np.int64)[order], np.array([r[2] for r in rows], np.int64)[order], held
 
-    def _repetitions(self, rng, short: np.ndarray) -> int:
-        """How many, so that short items with as many edits as may be are met with probability RECALL."""
+    def _repetitions(self, rng, short: np.ndarray) -> tuple[int, int]:
+        """How many repetitions of how many positions, so that short items with as many edits as may be are
+        met with probability RECALL; none where that takes too many."""
         chosen = rng.choice(short, min(len(short), 64), replace=False)
         edited = []
         for p in chosen.tolist():
@@ -179,8 +184,11 @@ class Patterns:
             for row, p in enumerate(chosen.tolist()):
                 n = int(self.reach[p, w])
                 agree.append(float((mine[row, :n] == self.embedded[p, w, :n]).mean()))
-        p = float(np.quantile(agree, 0.1)) ** SAMPLE
-        return MOST_REPETITIONS if p <= 0 else int(min(max(np.ceil(np.log(1 - RECALL) / np.log1p(-min(p, 0.999))), 16), MOST_REPETITIONS))
+        for positions in range(SAMPLE, 0, -1):
+            p = min(agree) ** positions
+            if 0 < p and (n := max(16, int(np.ceil(np.log(1 - RECALL) / np.log1p(-min(p, 0.999)))))) <= MOST_REPETITIONS:
+                return n, positions
+        return 0, 0
 
     def find(self, text: np.ndarray, ends: np.ndarray):
         """(text's number, pattern, edits, words looked for, first word) for patterns that occur in the texts."""
@@ -262,6 +270,8 @@ class Patterns:
         """Whether item and window agree in all positions of some repetition."""
         length = self.length[pattern]
         start, stop = np.maximum(begin, low), np.minimum(begin + length, high)
+        if self.samples is None:
+            return np.ones(len(pattern), bool)
         where, walk_of = self.samples
         met = np.zeros(len(pattern), bool)
         for w, walk in enumerate(self.walks):
