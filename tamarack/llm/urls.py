@@ -14,6 +14,7 @@ and is judged as the empty template of the empty host; repeated rows count as of
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,9 +22,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import pick, stored
 
-ALLOW, BLOCK, WILDCARD, REST = "allow", "block", "*", "**"
-#: Segments beyond this depth share one wildcard, so that the tree has a fixed number of levels.
-DEPTH = 6
+ALLOW, BLOCK, WILDCARD = "allow", "block", "*"
 #: A node is variable below if it has so many different children and they recur less often than this.
 FANOUT, RECURRENCE = 20, 5.0
 #: Weight of the prior, purity from which a template goes, and normal quantile of the share's interval.
@@ -65,10 +64,9 @@ def matched(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 
 
 def segments(path: Column) -> Column:
-    """The path's segments without an ending slash; variable shapes and deep ones are wildcards."""
+    """The path's segments without an ending slash; variable shapes are wildcards."""
     plain = F.filter(F.split(path, "/"), lambda x: x != "")
-    shaped = F.transform(plain, lambda x: F.when(x.rlike(VARIABLE), WILDCARD).otherwise(x))
-    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit(REST)))).otherwise(shaped)
+    return F.transform(plain, lambda x: F.when(x.rlike(VARIABLE), WILDCARD).otherwise(x))
 
 
 def _generalised(depth: int) -> Column:
@@ -79,10 +77,13 @@ def templates(counts: DataFrame) -> DataFrame:
     """``counts`` (host, shape, n, bad, good) with the column template.
 
     A level at a time, children of nodes that hardly see one twice become wildcards. What is
-    joined are counts of distinct shapes, not URLs; each level is written to the shared folder."""
+    joined are counts of distinct shapes, not URLs; each level is written to the shared folder. It
+    ends where no host has shapes enough that are deeper for a node to be variable below."""
     tree = stored(counts.withColumn("template", F.col("shape")), "urls")
-    deepest = tree.agg(F.max(F.size("shape")).alias("d")).first().d or 0
-    for depth in range(min(DEPTH, deepest)):
+    for depth in itertools.count():
+        deeper = tree.where(F.size("shape") > depth).groupBy("host").agg(F.count("*").alias("n"))
+        if deeper.where(F.col("n") >= FANOUT).isEmpty():
+            break
         tree = tree.withColumn("_node", F.slice("template", 1, depth)).withColumn("_child", F.get("template", F.lit(depth)))
         children = tree.where(F.col("_child").isNotNull() & (F.col("_child") != WILDCARD)).groupBy("host", "_node", "_child").agg(F.sum("n").alias("_n"))
         variable = children.groupBy("host", "_node").agg(F.count("*").alias("_children"), F.sum("_n").alias("_visits"))
@@ -112,7 +113,7 @@ def rejected(tree: DataFrame) -> DataFrame:
     centre, z2 = (F.col("bad") + Z * Z / 2) / (n + Z * Z), Z * Z
     reach = Z * F.sqrt(n * share * (1 - share) + z2 / 4) / (n + z2)
     alike = F.when(n == 0, "none").when(centre - reach > 0.5, "bad").when(centre + reach < 0.5, "good").otherwise("open")
-    constant = F.transform("template", lambda x, i: F.when(x.isin(WILDCARD, REST), F.lit(-1)).otherwise(i))
+    constant = F.transform("template", lambda x, i: F.when(x == WILDCARD, F.lit(-1)).otherwise(i))
     last = F.array_max(F.concat(constant, F.array(F.lit(-1))))
     family = F.transform("template", lambda x, i: F.when(i == last, "+").otherwise(x))
     of = of.withColumn("_last", last).withColumn("_alike", alike).withColumn("_family", F.when(F.col("_last") >= 0, family).otherwise(F.col("template")))

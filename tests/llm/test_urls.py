@@ -1,4 +1,7 @@
-from collections import Counter
+import itertools
+import random
+import re
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -72,3 +75,88 @@ def test_rules_reach_pages_without_rule(spark):
 
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
+
+
+def test_deep_paths(spark):
+    """Branches below the tenth segment tell, wildcards there too, and a very long path does no harm."""
+    at = "http://h.org/" + "/".join("abcdefghij")
+    words = ["".join(x) for x in itertools.product("klmnop", repeat=2)]
+    data = [(f"{at}/spam/{w}/view", True if i < 20 else None) for i, w in enumerate(words)] + [(f"{at}/news/{w}/view", False if i < 20 else None) for i, w in enumerate(words)]
+    data += [(at + "/x" * 400, None), (f"{at}/spam/zz/other", None)]
+    frame = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(data)], "page_id long, url string, b boolean")
+    label = F.coalesce(*(F.when(F.col("url").isin([u for u, b in data if b is x]), x) for x in (True, False)))
+    verdict = {r.page_id: r.verdict for r in urls.judge(frame, [], bad=label).collect()}
+    assert {u for i, (u, _) in enumerate(data) if verdict[i] == "block"} == {u for u, _ in data if "/spam/" in u}
+
+
+def brute(data):
+    """Rejected (host, shape) of (host, path, label) rows, by trees of plain dictionaries."""
+    shapes = Counter()
+    bad, good = Counter(), Counter()
+    for host, path, label in data:
+        shape = tuple(urls.WILDCARD if re.search(urls.VARIABLE, x) else x for x in path.split("/") if x)
+        shapes[host, shape] += 1
+        bad[host, shape] += label is True
+        good[host, shape] += label is False
+    template = {k: k[1] for k in shapes}
+    for depth in range(max((len(s) for _, s in shapes), default=0)):
+        visits = defaultdict(Counter)
+        for (host, shape), t in template.items():
+            if len(t) > depth and t[depth] != "*":
+                visits[host, t[:depth]][t[depth]] += shapes[host, shape]
+        for (host, shape), t in list(template.items()):
+            below = visits[host, t[:depth]]
+            if len(t) > depth and len(below) >= urls.FANOUT and sum(below.values()) < urls.RECURRENCE * len(below):
+                template[host, shape] = t[:depth] + ("*",) + t[depth + 1 :]
+    sums = defaultdict(lambda: [0, 0])
+    for (host, shape), t in template.items():
+        for k in range(len(t) + 1):
+            sums[host, t[:k], "above"][0] += bad[host, shape]
+            sums[host, t[:k], "above"][1] += good[host, shape]
+        sums[host, t][0] += bad[host, shape]
+        sums[host, t][1] += good[host, shape]
+    families = defaultdict(lambda: [0, 0, 0.5])
+    of = {}
+    for host, t in {(h, t) for (h, _), t in template.items()}:
+        b, g = sums[host, t]
+        n = b + g
+        kind = "none"
+        if n:
+            share, z = b / n, urls.Z
+            centre, reach = (b + z * z / 2) / (n + z * z), z * (n * share * (1 - share) + z * z / 4) ** 0.5 / (n + z * z)
+            kind = "bad" if centre - reach > 0.5 else "good" if centre + reach < 0.5 else "open"
+        last = max((i for i, x in enumerate(t) if x != "*"), default=-1)
+        key = host, tuple("+" if i == last else x for i, x in enumerate(t)), kind
+        of[host, t] = key
+        prior = 0.5
+        for k in range(max(last, 0) + 1):
+            p, q = sums[host, t[:k], "above"]
+            prior = (p + prior * urls.SMOOTHING) / (p + q + urls.SMOOTHING)
+        families[key][0] += b
+        families[key][1] += g
+        families[key][2] = prior
+    gone = {k for k, (b, g, prior) in families.items() if (b + prior * urls.SMOOTHING) / (b + g + urls.SMOOTHING) >= urls.PURITY}
+    return {k for k, t in template.items() if of[k[0], t] in gone}
+
+
+def test_verdicts_like_brute_force(spark):
+    rng = random.Random(6)
+    data = []
+    for host in ("a.com", "b.org", "c.net"):
+        names = ["".join(rng.choices("abcdef", k=3)) for _ in range(60)]
+        lean = {x: rng.choice([0.05, 0.5, 0.95]) for x in "xyzuvw"}
+        for _ in range(400):
+            top = rng.choice("xyzuvw")
+            tail = rng.choice([[], [rng.choice(names)], [str(rng.randrange(99)), "view"], [rng.choice(names), "p", rng.choice(names)]])
+            label = None if rng.random() < 0.5 else rng.random() < lean[top]
+            data.append((host, "/" + "/".join([top, *tail]), label))
+    gone = brute(data)
+    frame = spark.createDataFrame([(i, f"http://{h}{p}", b) for i, (h, p, b) in enumerate(data)], "page_id long, url string, b boolean")
+    # a label belongs to a row here, so that equal URLs may have different ones
+    rows = frame.select("page_id", F.concat("url", F.lit("#"), F.coalesce(F.col("b").cast("string"), F.lit("none"))).alias("url"))
+    mark = F.regexp_extract("url", "#(.*)$", 1)
+    verdict = {r.page_id: r.verdict for r in urls.judge(rows, [], bad=F.when(mark != "none", mark == "true")).collect()}
+    for i, (host, path, _) in enumerate(data):
+        shape = tuple(urls.WILDCARD if re.search(urls.VARIABLE, x) else x for x in path.split("/") if x)
+        assert (verdict[i] == "block") == ((host, shape) in gone)
+    assert set(verdict.values()) == {"allow", "block"}
