@@ -186,7 +186,7 @@ def _kept(sample: DataFrame, telling: np.ndarray) -> dict[bool, list[np.ndarray]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(own[tell]))], ["positive", "features"])
 
     out: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for r in sample.select("positive", "features").mapInArrow(run, "positive boolean, features array<int>").orderBy("positive", "features").collect():
+    for r in sorted(sample.select("positive", "features").mapInArrow(run, "positive boolean, features array<int>").collect()):
         out[r.positive].append(np.array(r.features, np.int32))
     return out
 
