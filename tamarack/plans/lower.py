@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,7 +107,7 @@ class Lowering:
         if grouping.needs_row_numbers(query):
             numbers = [f"r{next(self.numbers)}" for _ in frames]
         if len(numbers) > 1:
-            frames = [f.withColumn(n, F.monotonically_increasing_id()) for f, n in zip(frames, numbers, strict=True)]
+            frames = [_numbered(f, n) for f, n in zip(frames, numbers, strict=True)]
         return relations.product(frames), scope, numbers
 
     # resolution
@@ -226,7 +227,7 @@ class Lowering:
                 raise SemanticError("WHERE can't have aggregates")
             frame = self.filtered(frame, self.resolve_condition(query.where, scope), scope)
         if len(row_numbers) == 1:  # behind the filter, which so reaches the scan
-            frame = frame.withColumn(row_numbers[0], F.monotonically_increasing_id())
+            frame = _numbered(frame, row_numbers[0])
         items, names = [], []
         fresh = itertools.count(1)
         for item in query.items or tuple(ast.Item(ast.Name(a, n), None) for a, n, _ in scope.columns):
@@ -268,6 +269,16 @@ class Lowering:
         return Result(out, names, unique, [v.kind for v in values])
 
 
+def _numbered(frame: DataFrame, name: str) -> DataFrame:
+    """The frame with a column that orders its rows as they were read: by file, place in the file, and
+    row; only by row where it isn't read from files."""
+    row = F.monotonically_increasing_id()
+    try:
+        return frame.withColumn(name, F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), row.alias("row")))
+    except AnalysisException:
+        return frame.withColumn(name, row)
+
+
 class _TooDeep(Exception):
     """A reference over two levels or more, which Spark's subqueries don't resolve."""
 

@@ -5,6 +5,8 @@ Each covers operators of the inventory; all run over whole tables.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,15 +72,59 @@ def _runner(statement: str, options: Options | None = None) -> Callable[[SparkSe
     return lambda spark, sf_dir: Engine(spark, sf_dir, options).sql(statement)
 
 
+#: Statements that run over CSV files, which a statement wrote from the driver's tables: name: (table, statement, SQL).
+OVER_CSV: dict[str, tuple[str, str, str]] = {
+    "csv_scan": ("nation", 'SELECT * FROM "nation.csv" n WHERE n.n_regionkey >= 2;', "select cast(n_nationkey as bigint) as n_nationkey, n_name, cast(n_regionkey as bigint) as n_regionkey from nation where n_regionkey >= 2"),
+    "csv_join": ("supplier", 'SELECT s.s_name, n.n_name FROM "supplier.csv" s, "nation" n WHERE s.s_nationkey = n.n_nationkey;', "select s.s_name, n.n_name from supplier s, nation n where s.s_nationkey = n.n_nationkey"),
+    "csv_group": ("part", 'SELECT p.p_size AS k, COUNT(p.p_partkey) AS c, MAX(p.p_partkey) AS m FROM "part.csv" p GROUP BY p.p_size ORDER BY k;', "select cast(p_size as bigint) as k, count(*) as c, max(p_partkey) as m from part group by 1"),
+}
+
+
+def _shared(spark: SparkSession, tag: str) -> str:
+    """A new place in the folder that the machines share, or a temporary one where the session names none."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the machines share")
+    return f"{(where or tempfile.mkdtemp(prefix='tamarack-')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def _over_csv(table: str, statement: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The table written by the sink to the folder that the machines share, and read again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = _shared(spark, "csv")
+        Engine(spark, sf_dir).save(f'SELECT * FROM "{table}" t', f"{folder}/{table}.csv")
+        engine = Engine(spark, folder)
+        for other in ("nation", "region"):
+            engine.register(other, spark.read.parquet(f"{sf_dir}/{other}.parquet"))
+        return engine.sql(statement)
+
+    return run
+
+
+def last_rows_of_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of each group of a table in several files."""
+    folder = _shared(spark, "files")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").repartitionByRange(5, "p_partkey").sortWithinPartitions("p_partkey")
+    parts.write.parquet(f"{folder}/part.parquet")
+    return Engine(spark, folder).sql('SELECT p.p_size, COUNT(p.p_partkey) AS c, p.p_partkey AS k, p.p_name AS n FROM "part" p GROUP BY p.p_size;')
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _runner(statement) for name, (statement, _) in STATEMENTS.items()}
     out["big_data_join"] = _runner(STATEMENTS["three_way"][0], Options(big_data=True))
     out["unoptimized_join"] = _runner(STATEMENTS["equi_join"][0], Options(push_down=False, pruning=False))
     out["minus_distinct"] = _runner(STATEMENTS["minus"][0], Options(minus="distinct"))
+    out |= {f"big_data_{name}": _runner(STATEMENTS[name][0], Options(big_data=True)) for name in ("union", "minus", "nested_set_operations")}
+    out["last_rows_of_many_files"] = last_rows_of_many_files
+    out |= {name: _over_csv(table, statement) for name, (table, statement, _) in OVER_CSV.items()}
     return out
 
 
 def oracles() -> dict[str, str]:
     out = {name: sql for name, (_, sql) in STATEMENTS.items()}
+    out |= {f"big_data_{name}": out[name] for name in ("union", "minus", "nested_set_operations")}
+    out |= {name: sql for name, (_, _, sql) in OVER_CSV.items()}
+    out["last_rows_of_many_files"] = "select p_size, count(*) as c, max(p_partkey) as k, arg_max(p_name, p_partkey) as n from part group by p_size"
     out |= {"big_data_join": out["three_way"], "unoptimized_join": out["equi_join"], "minus_distinct": "select distinct k from (" + out["minus"] + ")"}
     return out

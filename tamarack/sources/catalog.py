@@ -3,16 +3,18 @@
 ``x.csv`` is a comma-separated file with a header line, ``x.parquet`` a Parquet table, and any other
 name the Parquet table, or else the CSV file, of that name. Relative paths start at the base folder.
 The CSV form knows no nulls: empty cells are empty texts. Cells are stripped of blanks. A CSV
-column is BIGINT if all of its cells are whole numbers that fit, otherwise text.
+column is BIGINT if all of its cells are whole numbers that fit, otherwise text. A quoted cell may
+hold line ends; a row with more or fewer cells than the header is an error.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.errors import SemanticError
+from tamarack.errors import EvaluationError, SemanticError
 
 _WHOLE = r"^-?[0-9]+$"
 
@@ -49,15 +51,29 @@ class Catalog:
         raise SemanticError(f"no such table: {name}")
 
 
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, so that a cell may go on behind it."""
+    lines = spark.read.text(path).where(F.col("value").contains('"'))
+    return not lines.where((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One pass over the file settles the types; the table itself is read lazily."""
-    options = {"header": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "quote": '"', "escape": '"', "emptyValue": "", "mode": "PERMISSIVE"}
-    raw = spark.read.options(**options).csv(path)
-    raw = raw.na.fill("")
+    """One pass over the rows settles the types; the table itself is read lazily. Files are read in
+    splits, as a whole only where :func:`_spans_lines` says that line ends may be parts of cells."""
+    options = {"header": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "quote": '"', "escape": '"', "emptyValue": "", "multiLine": _spans_lines(spark, path)}
+    raw = spark.read.options(**options, mode="PERMISSIVE").csv(path)
     if not raw.columns:
         return raw
-    plain = raw.toDF(*(f"c{i}" for i in range(len(raw.columns))))
+    # every column is read here, so that a row of another length shows
+    strict = spark.read.options(**options, mode="FAILFAST", enforceSchema=True).schema(raw.schema).csv(path).na.fill("")
+    plain = strict.toDF(*(f"c{i}" for i in range(len(raw.columns))))
     whole = [F.bool_and(F.col(c).rlike(_WHOLE) & F.expr(f"try_cast({c} AS BIGINT)").isNotNull()).alias(c) for c in plain.columns]
-    is_whole = plain.agg(*whole).first()
+    try:
+        is_whole = plain.agg(*whole).first()
+    except (PySparkException, Py4JJavaError) as error:
+        if "MALFORMED" not in str(error):
+            raise
+        raise EvaluationError(f"a row of {path} has more or fewer cells than its header") from error
+    plain = raw.na.fill("").toDF(*plain.columns)
     typed = [F.col(c).cast("bigint").alias(name) if is_whole[c] else F.col(c).alias(name) for c, name in zip(plain.columns, raw.columns, strict=True)]
     return plain.select(*typed)

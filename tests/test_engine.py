@@ -134,3 +134,29 @@ def test_plans(spark):
     plan = e.explain('SELECT n.n_name, n.n_regionkey FROM "nation" n WHERE n.n_regionkey > 2 GROUP BY n.n_regionkey')
     assert "PushedFilters: [IsNotNull(n_regionkey), GreaterThan(n_regionkey,2)]" in plan
     assert "digraph" in e.to_dot('SELECT * FROM "orders" o')
+
+
+def test_last_row_over_files_of_different_sizes(spark, tmp_path):
+    """The last file's last row counts, however the files are dealt to tasks; behind filters and joins too."""
+    for i, n in enumerate((3, 20_000, 40)):
+        frame = spark.range(n, numPartitions=1).selectExpr("id % 2 AS k", f"id + {i} * 100000 AS v")
+        frame.write.parquet(str(tmp_path / f"p{i}"))
+        (tmp_path / "t.parquet").mkdir(exist_ok=True)
+        [part] = (tmp_path / f"p{i}").glob("part-*.parquet")
+        part.rename(tmp_path / "t.parquet" / f"part-0000{i}.parquet")
+    e = Engine(spark, str(tmp_path))
+    assert rows(e, 'SELECT k, v FROM "t" x GROUP BY k') == [(0, 200038), (1, 200039)]
+    assert rows(e, 'SELECT k, v FROM "t" x WHERE v < 200000 GROUP BY k') == [(0, 119998), (1, 119999)]
+    e.register("one", spark.range(1))
+    assert rows(e, 'SELECT x.k, x.v FROM "t" x, "one" o WHERE x.v > o.id GROUP BY x.k') == [(0, 200038), (1, 200039)]
+
+
+def test_csv_cells_over_lines_and_rows_of_other_lengths(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('n,t\n1,"p\nq"\n2,"a ""b"", c"\n3,z\n')
+    (tmp_path / "long.csv").write_text("n,t\n1,a\n2,b,c\n")
+    (tmp_path / "short.csv").write_text("n,t\n1,a\n2\n")
+    e = Engine(spark, str(tmp_path))
+    assert rows(e, 'SELECT * FROM "q.csv" q') == [(1, "p\nq"), (2, 'a "b", c'), (3, "z")]
+    for name in ("long", "short"):
+        with pytest.raises(EvaluationError):
+            e.collect(f'SELECT n FROM "{name}.csv" x')
