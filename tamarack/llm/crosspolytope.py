@@ -25,6 +25,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +81,14 @@ def _points(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            label, ident, column = batch.column(0), batch.column(1), batch.column(2)
-            vectors, fine = [], []
-            for v, lab in zip(column.to_pylist(), label.to_pylist(), strict=True):
-                x = np.array([np.nan if y is None else y for y in v], np.float64) if v is not None else np.zeros(0)
-                x = x + 0.0  # minus zero is zero
-                fine.append(bool(lab is not None and len(x) and np.isfinite(x).all() and np.any(x)))
-                vectors.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([label, ident, pa.array(vectors, pa.binary()), pa.array(fine, pa.bool_())], ["label", "vec_id", "vector", "fine"])
+            label, column = batch.column(0), batch.column(2)
+            size = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(size)])
+            x = pc.cast(pc.list_flatten(column), pa.float64()).fill_null(np.nan).to_numpy() + 0.0  # minus zero is zero
+            within = lambda marks, at=at: np.diff(np.concatenate([[0], np.cumsum(marks)])[at])
+            fine = label.is_valid().to_numpy(zero_copy_only=False) & (within(np.isfinite(x)) == size) & (within(x != 0) > 0)
+            vectors = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(8 * at), pa.py_buffer(x)])
+            yield pa.RecordBatch.from_arrays([label, batch.column(1), vectors.cast(pa.binary()), pa.array(fine)], ["label", "vec_id", "vector", "fine"])
 
     return rows.select("label", "vec_id", "vector").mapInArrow(run, f"label {rows.schema['label'].dataType.simpleString()}, vec_id long, vector binary, fine boolean")
 
