@@ -4,7 +4,7 @@
 2. near_dedup: of documents that are linked as near copies, the one with the smallest id stays;
 3. substring_dedup: words covered by a 35-word window that occurs elsewhere are cut out of the texts;
 4. decontaminate: documents that hold a benchmark item, or a part of one, go;
-5. byte_bpe: ids of what is left, their number, and digests of the ids and of the bytes they decode to.
+5. byte_bpe: ids of what is left, their offsets and number, and digests of the ids and of the bytes they decode to.
 
 All stages but the last return the columns of documents. Rows with a null id or text pass the
 filters that can't judge them. An id that occurs in several rows is one document.
