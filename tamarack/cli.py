@@ -28,7 +28,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("path", nargs="?", help="a file with a query")
     p.add_argument("--output", help="a file for the result")
     p.add_argument("--graph", help="a file for the statement's graph in DOT")
-    p.add_argument("--use-caching", action="store_true", help="keep tables that are read in memory")
+    p.add_argument("--use-caching", action="store_true", help="keep tables that are read, and subqueries that a statement repeats")
     p.add_argument("--no-select-push-down", action="store_true", help="don't push filters down")
     p.add_argument("--no-projection-opti", action="store_true", help="don't prune columns")
     p.add_argument("--no-joins", action="store_true", help="don't turn products into joins")

@@ -70,7 +70,7 @@ class Engine:
 
     def lower(self, query: ast.Query) -> DataFrame:
         try:
-            result = Lowering(self.catalog, self.options.minus, "merge" if self.options.big_data else None).query(query)
+            result = Lowering(self.catalog, self.options.minus, "merge" if self.options.big_data else None).statement(query, self.options.use_caching)
         except AnalysisException as error:
             raise SemanticError(str(error).splitlines()[0]) from error
         return result.frame.toDF(*result.names)
@@ -95,8 +95,16 @@ class Engine:
     def explain(self, text: str, mode: str = "formatted") -> str:
         return self.sql(text)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
 
-    def to_dot(self, text: str) -> str:
-        return graph.dot(parse(text))
+    def to_dot(self, text: str, optimized: bool = True) -> str:
+        """The tree of the statement's operators after the optimizer's passes, or the statement's own tree."""
+        query = parse(text)
+        if not optimized or isinstance(query, ast.Command):
+            return graph.dot(query)
+        return graph.plan_dot(self.lower(query)._jdf.queryExecution().optimizedPlan())
+
+    def release(self) -> None:
+        """Let go of the tables and shared subqueries that ``use_caching`` keeps."""
+        self.catalog.release()
 
     def change_dir(self, path: str) -> str:
         self.catalog.base_dir = os.path.normpath(os.path.join(self.catalog.base_dir or os.getcwd(), path))

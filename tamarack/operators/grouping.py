@@ -6,6 +6,7 @@ order of the input; only then are rows numbered, at the scans.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -77,3 +78,18 @@ def grouped(frame: DataFrame, keys: dict[ast.Expr, Typed], aggregates: dict[ast.
     if not measures:
         return frame.select(*by).distinct(), known
     return frame.groupBy(*by).agg(*measures), known
+
+
+def over_domain(frame: DataFrame, known: dict[ast.Expr, Typed], carried: dict[ast.Expr, Typed], whole: DataFrame | None, aggregates: list[ast.Expr]) -> tuple[DataFrame, dict[ast.Expr, Typed]]:
+    """Groups by a domain's columns among others, with these under their own names again. With ``whole``,
+    the domain, each of its rows has a group, as aggregates without GROUP BY have one over no rows."""
+    again = {expr: t.column for expr, t in known.items() if expr in carried}
+    held = frame.select(*(c.alias(f"{expr.column}_d") for expr, c in again.items()), *(c for c in frame.columns))
+    if whole is None:
+        out = held.withColumnsRenamed({f"{e.column}_d": e.column for e in carried})
+    else:
+        same = functools.reduce(lambda x, y: x & y, (F.col(e.column).eqNullSafe(F.col(f"{e.column}_d")) for e in carried))
+        out = whole.join(held, same, "left").drop(*(f"{e.column}_d" for e in carried))
+    counts = {a for a in aggregates if isinstance(a, ast.Aggregate) and a.function == "count"}
+    filled = {a: Typed(F.coalesce(known[a].column, F.lit(0).cast("bigint")), known[a].kind) for a in counts}
+    return out, known | filled | carried

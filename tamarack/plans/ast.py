@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, fields, is_dataclass
 
 
 @dataclass(frozen=True)
@@ -141,3 +142,21 @@ def condition_aggregates(condition: Condition | None) -> list[Aggregate]:
         case Membership(value):
             return aggregates(value)
     return []
+
+
+def children(node) -> Iterator:
+    """The nodes right below a node, or those in a tuple of nodes."""
+    if isinstance(node, tuple):
+        yield from node
+    elif is_dataclass(node):
+        for f in fields(node):
+            value = getattr(node, f.name)
+            yield from value if isinstance(value, tuple) else (value,)
+
+
+def queries(node) -> Iterator[Query]:
+    """The queries in FROM and the operands of UNION and MINUS, from the outermost inwards."""
+    for child in children(node):
+        if isinstance(child, Select | SetOperation) and isinstance(node, Relation | SetOperation):
+            yield child
+        yield from queries(child)

@@ -44,6 +44,12 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "in_under_or": ('SELECT c_custkey FROM "customer" c WHERE c.c_nationkey = 3 OR c.c_nationkey IN (SELECT n.n_nationkey FROM "nation" n WHERE n.n_regionkey = 1);', "select c_custkey from customer c where c.c_nationkey = 3 or c.c_nationkey in (select n_nationkey from nation n where n_regionkey = 1)"),
     "in_set_operation": ('SELECT s.s_suppkey FROM "supplier" s WHERE s.s_nationkey IN ((SELECT n.n_nationkey FROM "nation" n WHERE n.n_regionkey = 1) UNION (SELECT m.n_nationkey FROM "nation" m WHERE m.n_nationkey < 3));', "select s_suppkey from supplier where s_nationkey in (select n_nationkey from nation where n_regionkey = 1 union select n_nationkey from nation where n_nationkey < 3)"),
     "in_deep": ('SELECT c.c_custkey FROM "customer" c WHERE c.c_nationkey IN (SELECT n.n_nationkey FROM "nation" n WHERE n.n_regionkey IN (SELECT r.r_regionkey FROM "region" r WHERE r.r_regionkey + 10 > c.c_custkey));', "select c.c_custkey from customer c where c.c_nationkey in (select n.n_nationkey from nation n where n.n_regionkey in (select r.r_regionkey from region r where r.r_regionkey + 10 > c.c_custkey))"),
+    "in_derived_correlated": ('SELECT c.c_custkey FROM "customer" c WHERE c.c_nationkey IN (SELECT t.k FROM (SELECT s.s_nationkey AS k, s.s_suppkey AS s FROM "supplier" s WHERE s.s_suppkey > c.c_custkey) t, "nation" n WHERE n.n_nationkey = t.k);', "select c.c_custkey from customer c where c.c_nationkey in (select s.s_nationkey from supplier s, nation n where n.n_nationkey = s.s_nationkey and s.s_suppkey > c.c_custkey)"),
+    "in_derived_set_correlated": ('SELECT n.n_nationkey FROM "nation" n WHERE n.n_nationkey NOT IN (SELECT t.k FROM ((SELECT c.c_nationkey AS k FROM "customer" c WHERE c.c_custkey > n.n_nationkey * 50) MINUS (SELECT s.s_nationkey AS k FROM "supplier" s WHERE s.s_suppkey < n.n_nationkey)) t);', "select n.n_nationkey from nation n where not exists (select 1 from customer c where c.c_custkey > n.n_nationkey * 50 and c.c_nationkey = n.n_nationkey and not exists (select 1 from supplier s where s.s_nationkey = c.c_nationkey and s.s_suppkey < n.n_nationkey))"),
+    "in_grouped_correlated": ('SELECT o.o_orderkey FROM "orders" o WHERE o.o_orderkey IN (SELECT MAX(l.l_orderkey) AS m FROM "lineitem" l WHERE l.l_orderkey = o.o_orderkey GROUP BY l.l_orderkey HAVING COUNT(l.l_linenumber) > 3);', "select o.o_orderkey from orders o where (select count(*) from lineitem l where l.l_orderkey = o.o_orderkey) > 3"),
+    "in_counted": ('SELECT n.n_nationkey FROM "nation" n WHERE 0 IN (SELECT COUNT(s.s_suppkey) AS c FROM "supplier" s WHERE s.s_nationkey = n.n_nationkey);', "select n.n_nationkey from nation n where (select count(*) from supplier s where s.s_nationkey = n.n_nationkey) = 0"),
+    "in_grouped_deep": ('SELECT r.r_regionkey FROM "region" r WHERE r.r_regionkey IN (SELECT n.n_regionkey FROM "nation" n WHERE n.n_nationkey IN (SELECT s.s_nationkey FROM "supplier" s WHERE s.s_suppkey > r.r_regionkey GROUP BY s.s_nationkey HAVING COUNT(s.s_suppkey) > r.r_regionkey) GROUP BY n.n_regionkey HAVING COUNT(n.n_nationkey) > 2);', "select r.r_regionkey from region r where (select count(*) from nation n where n.n_regionkey = r.r_regionkey and (select count(*) from supplier s where s.s_nationkey = n.n_nationkey and s.s_suppkey > r.r_regionkey) > greatest(r.r_regionkey, 0)) > 2"),
+    "having_in_correlated": ('SELECT n.n_regionkey AS r, COUNT(n.n_nationkey) AS c FROM "nation" n GROUP BY n.n_regionkey HAVING MAX(n.n_nationkey) IN (SELECT s.s_nationkey FROM "supplier" s WHERE s.s_suppkey > n.n_regionkey);', "select r, c from (select n_regionkey as r, count(*) as c, max(n_nationkey) as m from nation group by 1) g where exists (select 1 from supplier s where s.s_nationkey = g.m and s.s_suppkey > g.r)"),
     "in_grouped": ('SELECT c.c_name FROM "customer" c WHERE c.c_custkey IN (SELECT o.o_custkey FROM "orders" o GROUP BY o.o_custkey HAVING COUNT(o.o_orderkey) > 12);', "select c_name from customer where c_custkey in (select o_custkey from orders group by 1 having count(*) > 12)"),
     "not_in": ('SELECT s_suppkey FROM "supplier" s WHERE s.s_nationkey NOT IN (SELECT n.n_nationkey FROM "nation" n WHERE n.n_regionkey > 2);', "select s_suppkey from supplier where s_nationkey not in (select n_nationkey from nation where n_regionkey > 2)"),
     "not_in_correlated": ('SELECT o.o_orderkey FROM "orders" o WHERE o.o_custkey NOT IN (SELECT c.c_custkey FROM "customer" c WHERE c.c_nationkey = o.o_orderkey);', "select o.o_orderkey from orders o where o.o_custkey not in (select c.c_custkey from customer c where c.c_nationkey = o.o_orderkey)"),
@@ -72,6 +78,12 @@ def _runner(statement: str, options: Options | None = None) -> Callable[[SparkSe
     return lambda spark, sf_dir: Engine(spark, sf_dir, options).sql(statement)
 
 
+#: A statement with a subquery twice, which caching computes once.
+SHARED = (
+    'SELECT a.k AS k, a.c AS c FROM (SELECT o.o_custkey AS k, COUNT(o.o_orderkey) AS c FROM "orders" o GROUP BY o.o_custkey) a, (SELECT o.o_custkey AS k, COUNT(o.o_orderkey) AS c FROM "orders" o GROUP BY o.o_custkey) b WHERE a.k = b.c;',
+    "with g as (select o_custkey as k, count(*) as c from orders group by 1) select a.k, a.c from g a, g b where a.k = b.c",
+)
+
 #: Statements that run over CSV files, which a statement wrote from the driver's tables: name: (table, statement, SQL).
 OVER_CSV: dict[str, tuple[str, str, str]] = {
     "csv_scan": ("nation", 'SELECT * FROM "nation.csv" n WHERE n.n_regionkey >= 2;', "select cast(n_nationkey as bigint) as n_nationkey, n_name, cast(n_regionkey as bigint) as n_regionkey from nation where n_regionkey >= 2"),
@@ -115,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["big_data_join"] = _runner(STATEMENTS["three_way"][0], Options(big_data=True))
     out["unoptimized_join"] = _runner(STATEMENTS["equi_join"][0], Options(push_down=False, pruning=False))
     out["minus_distinct"] = _runner(STATEMENTS["minus"][0], Options(minus="distinct"))
+    out["shared_subquery"] = _runner(SHARED[0], Options(use_caching=True))
     out |= {f"big_data_{name}": _runner(STATEMENTS[name][0], Options(big_data=True)) for name in ("union", "minus", "nested_set_operations")}
     out["last_rows_of_many_files"] = last_rows_of_many_files
     out |= {name: _over_csv(table, statement) for name, (table, statement, _) in OVER_CSV.items()}
@@ -125,6 +138,7 @@ def oracles() -> dict[str, str]:
     out = {name: sql for name, (_, sql) in STATEMENTS.items()}
     out |= {f"big_data_{name}": out[name] for name in ("union", "minus", "nested_set_operations")}
     out |= {name: sql for name, (_, _, sql) in OVER_CSV.items()}
+    out["shared_subquery"] = SHARED[1]
     out["last_rows_of_many_files"] = "select p_size, count(*) as c, max(p_partkey) as k, arg_max(p_name, p_partkey) as n from part group by p_size"
     out |= {"big_data_join": out["three_way"], "unoptimized_join": out["equi_join"], "minus_distinct": "select distinct k from (" + out["minus"] + ")"}
     return out

@@ -23,6 +23,7 @@ class Catalog:
     def __init__(self, spark: SparkSession, base_dir: str = "", cache: bool = False):
         self.spark, self.base_dir, self.cache = spark, base_dir, cache
         self.known: dict[str, DataFrame] = {}
+        self.kept: list[DataFrame] = []
 
     def path(self, name: str) -> str:
         if not self.base_dir or name.startswith("/") or "://" in name:
@@ -37,9 +38,21 @@ class Catalog:
         key = name if name in self.known else self.path(name)
         if key not in self.known:
             df = self._read(name, key)
-            self.known[key] = df.cache() if self.cache else df
+            self.known[key] = self.keep(df) if self.cache else df
         return self.known[key]
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, kept once it is computed, until :meth:`release`."""
+        self.kept.append(df.persist())
+        return self.kept[-1]
+
+    def release(self) -> None:
+        """Let go of all that was kept; tables are looked up anew."""
+        for df in self.kept:
+            df.unpersist()
+        self.known = {k: df for k, df in self.known.items() if not any(df is x for x in self.kept)}
+        self.kept.clear()
+
     def _read(self, name: str, path: str) -> DataFrame:
         tried = [path] if name.lower().endswith((".csv", ".parquet")) else [f"{path}.parquet", f"{path}.csv"]
         for place in tried:

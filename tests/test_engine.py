@@ -133,7 +133,29 @@ def test_plans(spark):
     assert "LeftAnti" in plan and "isNullAware" not in plan
     plan = e.explain('SELECT n.n_name, n.n_regionkey FROM "nation" n WHERE n.n_regionkey > 2 GROUP BY n.n_regionkey')
     assert "PushedFilters: [IsNotNull(n_regionkey), GreaterThan(n_regionkey,2)]" in plan
-    assert "digraph" in e.to_dot('SELECT * FROM "orders" o')
+    assert "Relation" in e.to_dot('SELECT o_orderkey FROM "orders" o WHERE o_custkey = 7')
+    assert "Comparison" in e.to_dot('SELECT o_orderkey FROM "orders" o WHERE o_custkey = 7', optimized=False)
+
+
+def test_repeated_subqueries_are_kept_and_released(spark, folder):
+    e = Engine(spark, folder, Options(use_caching=True))
+    part = '(SELECT dept_no AS d, COUNT(id) AS c FROM "staff.csv" s GROUP BY dept_no)'
+    text = f"SELECT a.d, b.c FROM {part} a, {part} b WHERE a.d = b.d"
+    assert rows(e, text) == [(1, 3), (2, 1), (20, 1)]
+    assert e.explain(text).count("InMemoryTableScan") >= 2 and len(e.catalog.kept) >= 2
+    kept = list(e.catalog.kept)
+    e.release()
+    assert not e.catalog.kept and not any(df.storageLevel.useMemory for df in kept)
+
+
+def test_correlation_anywhere(engine):
+    """From derived tables, from groups, from HAVING, and over two levels from each."""
+    assert rows(engine, 'SELECT name FROM "dept.csv" d WHERE head IN (SELECT t.id FROM (SELECT s.id AS id FROM "staff.csv" s WHERE s.dept_no = d.id) t)') == [("Développement",), ("Sales",)]
+    assert rows(engine, 'SELECT d.id FROM "dept.csv" d WHERE 0 IN (SELECT COUNT(s.id) AS c FROM (SELECT * FROM "staff.csv" x WHERE x.dept_no = d.id) s)') == [(3,)]
+    assert rows(engine, 'SELECT d.id FROM "dept.csv" d WHERE d.id IN (SELECT s.dept_no FROM "staff.csv" s WHERE s.id IN (SELECT MAX(x.id) AS m FROM "staff.csv" x WHERE x.dept_no = d.id))') == [(1,), (2,)]
+    assert rows(engine, 'SELECT d.head FROM "dept.csv" d GROUP BY d.head HAVING d.head NOT IN (SELECT s.id FROM "staff.csv" s WHERE s.dept_no * 7 = d.head)') == [(8,)]
+    last = 'SELECT d.id FROM "dept.csv" d WHERE "Di" IN (SELECT s.name FROM "staff.csv" s WHERE s.dept_no = d.id GROUP BY s.dept_no)'
+    assert rows(engine, last) == [(1,)]
 
 
 def test_last_row_over_files_of_different_sizes(spark, tmp_path):
