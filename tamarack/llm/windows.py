@@ -14,6 +14,7 @@ its repeated windows cover.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import discard, new_path, numbered, partitions, pick, release, row_groups, stored, text_bytes
-from tamarack.llm.minhash import mix, word_hashes
+from tamarack.llm.minhash import mix
 
 #: log2 of the bits of the table of minimizers that occur again: 16 MB in a task, which are sent as
 #: compressed segments, so that what passes through the driver is small while the table is thin.
@@ -121,15 +122,50 @@ def runs(values: np.ndarray, ends: np.ndarray, kind: Kind) -> tuple[np.ndarray,
     return m, begin, length, hits
 
 
-def symbols(data: np.ndarray, offsets: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """The values of all symbols of the texts, where each text ends among them, and the words if
-    symbols are words."""
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Weights of a word's bytes are powers of an odd number, so sums over words can be shifted to the word's begin.
+_POWER = 0x9E3779B97F4A7C15
+
+
+@functools.cache
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers; those of a chunk's usual size are kept."""
+    usual = CHUNK_BYTES + 1
+    return _powers(base, usual)[:n] if n <= usual else _powers.__wrapped__(base, n)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word of the texts, how many words begin before the end of each text, and the
+    bytes at which words begin and stop."""
+    none = np.zeros(0, np.int64)
+    n = len(data)
+    if not n:
+        return none.view(np.uint64), np.zeros(len(offsets) - 1, np.int64), none, none
+    black = ~_SPACE[data]
+    head, tail = black.copy(), black.copy()
+    head[1:] &= ~black[:-1]
+    tail[:-1] &= ~black[1:]
+    # a text's first and last byte are next to none
+    firsts, lasts = offsets[:-1][offsets[:-1] < n], offsets[1:][offsets[1:] > 0] - 1
+    head[firsts], tail[lasts] = black[firsts], black[lasts]
+    begin, stop = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * _power(_POWER, n))])
+    return mix((summed[stop] - summed[begin]) * _power(pow(_POWER, -1, 1 << 64), n)[begin]), np.searchsorted(begin, offsets[1:]), begin, stop
+
+
+def symbols(data: np.ndarray, offsets: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The values of all symbols of the texts, where each text ends among them, and the bytes at which
+    each symbol begins and stops."""
     if not kind.words:
-        return _BYTES[data], offsets[1:], []
-    lists = [data[a:b].tobytes().split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    flat = [w for words in lists for w in words]
-    known = word_hashes()
-    return np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat)), np.cumsum([len(x) for x in lists]), flat
+        at = np.arange(len(data) + 1)
+        return _BYTES[data], offsets[1:], at[:-1], at[1:]
+    return words_of(data, offsets)
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -146,7 +182,7 @@ def _again(texts: DataFrame, kind: Kind) -> dict[int, bytes]:
             data, offsets = text_bytes(batch.column(0))
             for a, b in row_groups(offsets, CHUNK_BYTES):
                 part = offsets[a : b + 1] - offsets[a]
-                values, ends, _ = symbols(data[offsets[a] : offsets[b]], part, kind)
+                values, ends, _, _ = symbols(data[offsets[a] : offsets[b]], part, kind)
                 m, _, _, hits = runs(values, ends, kind)
                 if len(m):
                     yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(hits)], ["m", "n"])
@@ -189,7 +225,7 @@ def _slices(texts: DataFrame, kind: Kind, table) -> DataFrame:
             data, offsets = text_bytes(batch.column(1))
             for a, b in row_groups(offsets, CHUNK_BYTES):
                 part, own = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
-                values, ends, words = symbols(own, part, kind)
+                values, ends, first, last = symbols(own, part, kind)
                 m, begin, length, _ = runs(values, ends, kind)
                 slot = (m & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
                 keep = (held[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
@@ -198,11 +234,10 @@ def _slices(texts: DataFrame, kind: Kind, table) -> DataFrame:
                     continue
                 row = np.searchsorted(ends, begin, side="right")
                 start = begin - np.concatenate([[0], ends])[row]
+                raw = own.tobytes()
+                cut = [raw[x:y] for x, y in zip(first[begin].tolist(), last[stop - 1].tolist(), strict=True)]
                 if kind.words:
-                    cut = [b" ".join(words[x:y]) for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]
-                else:
-                    raw = own.tobytes()
-                    cut = [raw[x:y] for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]
+                    cut = [b" ".join(x.split()) for x in cut]
                 row = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(m.view(np.int64)), pa.array(cut, pa.binary()), pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in cut], np.uint64).view(np.int64)), batch.column(0).take(row), batch.column(2).take(row), pa.array(start, pa.int32())],

@@ -102,6 +102,18 @@ def test_runs_cover_every_window_once():
     assert (sliding_least(grams, kind.span)[windows] == np.repeat(m, length)).all() and (hits >= 1).all()
 
 
+def test_words_have_one_hash_wherever_they_are():
+    texts = [b"", b"one  two\tone", b"two", b"", b" ", b"\xc3\xa9 one\xc2\xa0two", b"two\n", b"x" * 3000 + b" one", b""]
+    offsets = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    values, ends, begin, stop = windows.words_of(data, offsets)
+    words = [w for t in texts for w in t.split()]
+    assert [data[a:b].tobytes() for a, b in zip(begin, stop, strict=True)] == words
+    assert ends.tolist() == np.cumsum([len(t.split()) for t in texts]).tolist()
+    assert len(set(zip(words, values.tolist(), strict=True))) == len(set(words)) == len(set(values.tolist()))
+    assert not len(windows.words_of(data[:0], np.array([0, 0]))[0])
+
+
 def test_equal_rows_gather_as_much_as_two_of_them(table):
     """What is gathered for a row doesn't grow with the number of rows that equal it."""
     text = " ".join(f"w{i * 7 % 90}" for i in range(120))
