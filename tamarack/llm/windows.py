@@ -1,7 +1,10 @@
 """Repeated windows of symbols: how texts are dealt to shards that can be indexed by themselves.
 
 A window is WIDTH consecutive symbols of one text. Equal windows have the same minimizer - the
-smallest hash among their GRAM-symbol substrings - so windows are dealt to shards by it. Neighbouring
+least among their GRAM-symbol substrings - so windows are dealt to shards by it. Rare substrings
+are less than frequent ones, as a table of counts by hash has it, and hashes decide among those as
+rare. A passage that very many texts share so gives up the windows that reach into its
+surroundings to the minimizers of these, and the windows within it form equal slices. Neighbouring
 windows with one minimizer travel together as a slice of the text, and equal slices of a map task
 travel once, with a count. Minimizers that occur once in all texts can't belong to a repeated
 window: a first pass counts them, a bit table of a fixed size holds those that occur again, and
@@ -29,6 +32,9 @@ from tamarack.llm.minhash import mix
 #: log2 of the bits of the table of minimizers that occur again: 16 MB in a task, which are sent as
 #: compressed segments, so that what passes through the driver is small while the table is thin.
 TABLE_BITS, SEGMENTS, CODEC = 27, 64, "zstd"
+#: log2 of the counts of substrings by hash, 1 MB of classes in a task. Counts tell a passage from chance as long as
+#: it has more copies than a slot has substrings on average; whatever they tell, results are the same.
+RARITY_BITS, RARITY_SEGMENTS, CLASSES = 20, 16, 32
 #: Symbols that a shard's kernel gets at a time, unless one minimizer has more; slices held to be combined.
 SHARD_SYMBOLS, COMBINE = 1 << 20, 1 << 15
 CHUNK_BYTES = 1 << 20
@@ -86,15 +92,24 @@ def sliding_least(values: np.ndarray, span: int) -> np.ndarray:
     return values
 
 
-def runs(values: np.ndarray, ends: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _by_rarity(grams: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """The hashes with the class of their count in the highest bits."""
+    slot = (grams >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+    return (rarity[slot].astype(np.uint64) << np.uint64(58)) | (grams & np.uint64((1 << 58) - 1))
+
+
+def runs(values: np.ndarray, ends: np.ndarray, kind: Kind, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts end to end (``values``; text i ends at ``ends[i]``): the minimizer, the first window and
-    the number of windows of each run, and how often its minimizer occurs in it.
+    the number of windows of each run, and how often its minimizer occurs in it. ``rarity``: classes of
+    counts by hash; without them hashes alone decide which substring is the least.
 
     Runs hold neighbouring windows of one text with one minimizer, ``kind.span`` of them at most."""
     none = np.zeros(0, np.int64)
     if len(values) < kind.width:
         return none.view(np.uint64), none, none, none
     grams = gram_hashes(values, kind.gram)
+    if rarity is not None:
+        grams = _by_rarity(grams, rarity)
     least = sliding_least(grams, kind.span)
     starts = np.concatenate([[0], ends[:-1]])
     inside = np.zeros(len(values) + 1, np.int8)
@@ -173,17 +188,57 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return pick(docs, doc_id=id_column, text=text_column).withColumn("digest", F.xxhash64("text"))
 
 
-def _again(texts: DataFrame, kind: Kind) -> dict[int, bytes]:
+def _rarity(texts: DataFrame, kind: Kind) -> bytes:
+    """For each slot of hashes a byte: the class, by powers of two, of how many substrings of all texts fall
+    into it, against the average of those with any; so texts that all occur n times as often have the same classes."""
+    size = (1 << RARITY_BITS) // RARITY_SEGMENTS
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([pa.compress(x.tobytes(), CODEC, asbytes=True) for _, x in rows], pa.binary())], ["segment", "counts"])
+
+    def count(batches):
+        held = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for a, b in row_groups(offsets, CHUNK_BYTES):
+                values = symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], kind)[0]
+                if len(values) >= kind.width:
+                    slot = gram_hashes(values, kind.gram) >> np.uint64(64 - RARITY_BITS)
+                    held += np.bincount(slot.astype(np.int64), minlength=len(held))
+        if held.any():
+            yield packed(list(enumerate(np.minimum(held, 0xFFFFFFFF).astype(np.uint32).reshape(RARITY_SEGMENTS, size))))
+        release()
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for segment, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[segment] = sums.get(segment, 0) + np.frombuffer(pa.decompress(counts, size * 4, CODEC), np.uint32).astype(np.int64)
+        for segment, total in sums.items():
+            yield packed([(segment, total)])
+
+    schema = "segment int, counts binary"
+    counts = texts.select("text").mapInArrow(count, schema).repartition(RARITY_SEGMENTS, "segment").mapInArrow(add, schema)
+    total = np.zeros((RARITY_SEGMENTS, size), np.int64)
+    for r in counts.toLocalIterator():
+        total[r.segment] = np.frombuffer(pa.decompress(bytes(r.counts), size * 8, CODEC), np.int64)
+    average = total.sum() / max(np.count_nonzero(total), 1)
+    relative = np.floor(np.log2(np.maximum(total, 1) / max(average, 1)))
+    return np.clip(relative + CLASSES // 2, 0, CLASSES - 1).astype(np.uint8).tobytes()
+
+
+def _again(texts: DataFrame, kind: Kind, rarity) -> dict[int, bytes]:
     """The bit table of the minimizers that occur more than once: compressed segments by their number."""
     bits, spark = TABLE_BITS, texts.sparkSession
 
     def minimizers(batches):
+        rare = np.frombuffer(rarity.value, np.uint8)
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for a, b in row_groups(offsets, CHUNK_BYTES):
                 part = offsets[a : b + 1] - offsets[a]
                 values, ends, _, _ = symbols(data[offsets[a] : offsets[b]], part, kind)
-                m, _, _, hits = runs(values, ends, kind)
+                m, _, _, hits = runs(values, ends, kind, rare)
                 if len(m):
                     yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(hits)], ["m", "n"])
         release()
@@ -214,19 +269,19 @@ def _table(segments: dict[int, bytes]) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _slices(texts: DataFrame, kind: Kind, table) -> DataFrame:
+def _slices(texts: DataFrame, kind: Kind, table, rarity) -> DataFrame:
     """m, slice, hash, doc_id, digest, start: of every run whose minimizer is in the bit table."""
 
     def run(batches):
         import xxhash
 
-        held = _table(table.value)
+        held, rare = _table(table.value), np.frombuffer(rarity.value, np.uint8)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for a, b in row_groups(offsets, CHUNK_BYTES):
                 part, own = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
                 values, ends, first, last = symbols(own, part, kind)
-                m, begin, length, _ = runs(values, ends, kind)
+                m, begin, length, _ = runs(values, ends, kind, rare)
                 slot = (m & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
                 keep = (held[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
                 m, begin, stop = m[keep], begin[keep], begin[keep] + length[keep] + kind.width - 1
@@ -316,9 +371,11 @@ def covered(docs: DataFrame, kind: Kind, kernel: Kernel, id_column: str = "doc_i
     spark = docs.sparkSession
     texts = _keyed(docs, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     path = new_path(spark, "slices")
-    table = spark.sparkContext.broadcast(_again(texts, kind))
-    slices = stored(_slices(texts, kind, table), "slices", path)
+    rarity = spark.sparkContext.broadcast(_rarity(texts, kind))
+    table = spark.sparkContext.broadcast(_again(texts, kind, rarity))
+    slices = stored(_slices(texts, kind, table, rarity), "slices", path)
     table.destroy()
+    rarity.destroy()
     found = _repeated(slices, kernel)
     # rows of one id and text have equal slices, which count once here
     of = slices.select("m", "hash", "doc_id", "digest", "start").join(found, ["m", "hash"]).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "ranges")).alias("found"))

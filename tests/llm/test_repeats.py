@@ -114,6 +114,26 @@ def test_words_have_one_hash_wherever_they_are():
     assert not len(windows.words_of(data[:0], np.array([0, 0]))[0])
 
 
+@pytest.mark.parametrize("kind", [fmindex.KIND, suffixarray.KIND])
+def test_a_shared_passage_is_no_hot_minimizer(table, kind):
+    """A passage amid 300 different surroundings: no minimizer has slices that grow with their number."""
+    rng = random.Random(8)
+    own = lambda: " ".join(f"{rng.randrange(1 << 40):x}" for _ in range(60))
+    passage = own()
+    texts = [f"{own()} {passage} {own()}" for _ in range(300)]
+    classes = np.frombuffer(windows._rarity(windows._keyed(table(list(enumerate(texts))), "doc_id", "text"), kind), np.uint8)
+    most = {}
+    for name, rarity in (("plain", None), ("rare", classes)):
+        found: dict[int, set] = {}
+        for text in texts:
+            data = np.frombuffer(text.encode(), np.uint8)
+            values, ends, first, last = windows.symbols(data, np.array([0, len(data)]), kind)
+            for m, begin, length, _ in zip(*runs(values, ends, kind, rarity), strict=True):
+                found.setdefault(int(m), set()).add(text.encode()[first[begin] : last[begin + length + kind.width - 2]])
+        most[name] = max(map(len, found.values()))
+    assert most["plain"] >= 200 and most["rare"] <= 20
+
+
 def test_equal_rows_gather_as_much_as_two_of_them(table):
     """What is gathered for a row doesn't grow with the number of rows that equal it."""
     text = " ".join(f"w{i * 7 % 90}" for i in range(120))
