@@ -4,7 +4,8 @@ A window is WIDTH consecutive symbols of one text. Equal windows have the same m
 least among their GRAM-symbol substrings - so windows are dealt to shards by it. Rare substrings
 are less than frequent ones, as a table of counts by hash has it, and hashes decide among those as
 rare. A passage that very many texts share so gives up the windows that reach into its
-surroundings to the minimizers of these, and the windows within it form equal slices. Neighbouring
+surroundings to the minimizers of these, and the windows within it form equal slices. (Of words only:
+over bytes the counts cost too much.) Neighbouring
 windows with one minimizer travel together as a slice of the text, and equal slices of a map task
 travel once, with a count. Minimizers that occur once in all texts can't belong to a repeated
 window: a first pass counts them, a bit table of a fixed size holds those that occur again, and
@@ -232,7 +233,7 @@ def _again(texts: DataFrame, kind: Kind, rarity) -> dict[int, bytes]:
     bits, spark = TABLE_BITS, texts.sparkSession
 
     def minimizers(batches):
-        rare = np.frombuffer(rarity.value, np.uint8)
+        rare = np.frombuffer(rarity.value, np.uint8) if kind.words else None
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for a, b in row_groups(offsets, CHUNK_BYTES):
@@ -275,7 +276,7 @@ def _slices(texts: DataFrame, kind: Kind, table, rarity) -> DataFrame:
     def run(batches):
         import xxhash
 
-        held, rare = _table(table.value), np.frombuffer(rarity.value, np.uint8)
+        held, rare = _table(table.value), np.frombuffer(rarity.value, np.uint8) if kind.words else None
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for a, b in row_groups(offsets, CHUNK_BYTES):
@@ -371,7 +372,7 @@ def covered(docs: DataFrame, kind: Kind, kernel: Kernel, id_column: str = "doc_i
     spark = docs.sparkSession
     texts = _keyed(docs, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
     path = new_path(spark, "slices")
-    rarity = spark.sparkContext.broadcast(_rarity(texts, kind))
+    rarity = spark.sparkContext.broadcast(_rarity(texts, kind) if kind.words else b"")
     table = spark.sparkContext.broadcast(_again(texts, kind, rarity))
     slices = stored(_slices(texts, kind, table, rarity), "slices", path)
     table.destroy()
