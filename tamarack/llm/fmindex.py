@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tamarack.llm.common import numbered
-from tamarack.llm.windows import Kind, covered, rows_of, spans
+from tamarack.llm.minhash import mix
+from tamarack.llm.windows import Kind, covered, promising, rows_of, spans
 
 WIDTH, GRAM = 35, 12
 KIND = Kind(words=True, width=WIDTH, gram=GRAM)
@@ -98,23 +99,32 @@ class FMIndex:
 
 def kernel(slices: list[bytes], weights: np.ndarray, width: int = WIDTH) -> list[list[tuple[int, int]]]:
     """The ranges that windows with two occurrences or more, by weight, cover in each slice."""
-    lists = [x.split(b" ") for x in slices]
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    number: dict[bytes, int] = {}
-    flat = np.fromiter((number.setdefault(w, len(number)) for words in lists for w in words), np.int64, int(size.sum()))
-    owner = np.repeat(np.arange(len(lists)), size)
+    size = np.fromiter((x.count(b" ") + 1 for x in slices), np.int64, len(slices))
+    words = b" ".join(slices).split(b" ")
+    number = dict(zip(dict.fromkeys(words), range(len(words)), strict=False))
+    flat = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    out: list[list[tuple[int, int]]] = [[] for _ in slices]
+    # what can't be repeated isn't indexed
+    ends = np.cumsum(size)
+    place, stops = promising(mix(flat.astype(np.uint64) + np.uint64(1)), ends, weights, Kind(words=True, width=width, gram=min(GRAM, width)))
+    if not len(place):
+        return out
+    size = np.diff(stops, prepend=0)
+    begin, flat = place[stops - size], flat[place]
+    of = np.searchsorted(ends, begin, side="right")
+    begin, weights = begin - np.append(0, ends[:-1])[of], weights[of]
+    owner = np.repeat(np.arange(len(size)), size)
     # words with one occurrence end every match, so one number, 1, stands for them all
     seen = np.bincount(flat, weights[owner], len(number))
     renamed = np.ones(len(number), np.int64)
     renamed[seen > 1] = np.arange(2, 2 + int((seen > 1).sum()))
     starts = np.cumsum(size + 1) - size - 1
-    text = np.zeros(int(size.sum()) + len(lists), np.int64)
+    text = np.zeros(int(size.sum()) + len(size), np.int64)
     text[np.arange(len(flat)) + owner] = renamed[flat]
     index = FMIndex(text, width, np.repeat(weights > 1, size + 1))
-    out: list[list[tuple[int, int]]] = [[] for _ in lists]
-    lane = np.arange(len(lists))
+    lane = np.arange(len(size))
     end, at = size.copy(), size.copy()
-    low, high = np.zeros(len(lists), np.int64), np.full(len(lists), index.size, np.int64)
+    low, high = np.zeros(len(size), np.int64), np.full(len(size), index.size, np.int64)
     while len(lane):
         symbol = text[starts[lane] + at - 1]
         low2, high2 = index.extend(symbol, low, high)
@@ -125,11 +135,12 @@ def kernel(slices: list[bytes], weights: np.ndarray, width: int = WIDTH) -> list
         if ended.any():
             for i, a, b in zip(lane[ended].tolist(), at[ended].tolist(), end[ended].tolist(), strict=True):
                 if b - a >= width:
-                    out[i].append((a, b))
+                    out[of[i]].append((int(begin[i]) + a, int(begin[i]) + b))
             # a string that goes on to the slice's start holds all that are left; otherwise matches that
-            # end earlier are looked for, behind the word of one occurrence if such a word was met
+            # end earlier are looked for, behind the word of one occurrence if such a word was met, and
+            # with the first window that isn't in the match if it holds windows
             single = ended & ~more & (symbol == 1)
-            end = np.where(ended, np.where(at == 0, 0, np.where(single, at - 1, end - 1)), end)
+            end = np.where(ended, np.where(at == 0, 0, np.where(single, at - 1, np.minimum(end, at + width) - 1)), end)
             at = np.where(ended, end, at)
             low, high = np.where(ended, 0, low), np.where(ended, index.size, high)
             keep = end >= width

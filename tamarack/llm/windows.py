@@ -37,8 +37,10 @@ TABLE_BITS, SEGMENTS, CODEC = 27, 64, "zstd"
 #: it has more copies than a slot has substrings on average; whatever they tell, results are the same.
 RARITY_BITS, RARITY_SEGMENTS, CLASSES = 20, 16, 32
 #: Symbols that a shard's kernel gets at a time, unless one minimizer has more; slices held to be combined.
-SHARD_SYMBOLS, COMBINE = 1 << 20, 1 << 15
-CHUNK_BYTES = 1 << 20
+SHARD_SYMBOLS, SHARD_ROWS, COMBINE = 1 << 20, 1 << 11, 1 << 15
+#: log2 of the least number of counts by hash that tell which grams of a shard occur once.
+SLOT_BITS = 21
+CHUNK_BYTES = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -60,26 +62,33 @@ def _byte_values() -> np.ndarray:
 
 
 _BYTES = _byte_values()
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Weights of symbols are powers of an odd number, so sums over bytes or grams can be shifted to where they begin.
+_POWER = 0x9E3779B97F4A7C15
 
 
-def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    x = left * _A + right * _B
-    return x ^ (x >> np.uint64(29))
+@functools.cache
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers; those of a shard's usual size are kept."""
+    usual = 2 * SHARD_SYMBOLS
+    return _powers(base, usual)[:n] if n <= usual else _powers.__wrapped__(base, n)
 
 
 def gram_hashes(values: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of each ``gram`` consecutive values, put together from those of powers of two."""
-    power, size, done, out = values, 1, 0, None
-    while True:
-        if gram & size:
-            n = len(values) - done - size + 1
-            out = power[:n] if out is None else _joined(out[: max(n, 0)], power[done : done + max(n, 0)])
-            done += size
-        if done == gram:
-            return mix(out[: max(len(values) - gram + 1, 0)])
-        power = _joined(power[:-size], power[size:]) if len(power) > size else power[:0]
-        size *= 2
+    """A hash of each ``gram`` consecutive values: weighted sums, shifted to their first value."""
+    n = len(values) - gram + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    summed = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(_POWER, len(values)), out=summed[1:])
+    out = summed[gram:] - summed[:n]
+    out *= _power(pow(_POWER, -1, 1 << 64), n)
+    return mix(out)
 
 
 def sliding_least(values: np.ndarray, span: int) -> np.ndarray:
@@ -99,10 +108,10 @@ def _by_rarity(grams: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return (rarity[slot].astype(np.uint64) << np.uint64(58)) | (grams & np.uint64((1 << 58) - 1))
 
 
-def runs(values: np.ndarray, ends: np.ndarray, kind: Kind, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(values: np.ndarray, ends: np.ndarray, kind: Kind, rarity: np.ndarray | None = None, count: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts end to end (``values``; text i ends at ``ends[i]``): the minimizer, the first window and
-    the number of windows of each run, and how often its minimizer occurs in it. ``rarity``: classes of
-    counts by hash; without them hashes alone decide which substring is the least.
+    the number of windows of each run, and how often its minimizer occurs in it (with ``count``). ``rarity``:
+    classes of counts by hash; without them hashes alone decide which substring is the least.
 
     Runs hold neighbouring windows of one text with one minimizer, ``kind.span`` of them at most."""
     none = np.zeros(0, np.int64)
@@ -111,49 +120,41 @@ def runs(values: np.ndarray, ends: np.ndarray, kind: Kind, rarity: np.ndarray |
     grams = gram_hashes(values, kind.gram)
     if rarity is not None:
         grams = _by_rarity(grams, rarity)
+    np.maximum(grams, np.uint64(1), out=grams)
     least = sliding_least(grams, kind.span)
-    starts = np.concatenate([[0], ends[:-1]])
-    inside = np.zeros(len(values) + 1, np.int8)
-    usable = ends - starts >= kind.width
-    inside[starts[usable]] += 1
-    inside[ends[usable] - kind.width + 1] -= 1
-    at = np.flatnonzero(np.cumsum(inside[: len(least)], dtype=np.int8))
-    if not len(at):
-        return none.view(np.uint64), none, none, none
-    m = least[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (m[1:] != m[:-1]) | (at[1:] != at[:-1] + 1)
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(at)))
+    # no window begins in a text's last symbols, so windows of two texts are never neighbours; 0 stands there
+    short = np.minimum(kind.width - 1, np.diff(ends, prepend=0))
+    off = np.repeat(ends - np.cumsum(short), short) + np.arange(int(short.sum()))
+    least[off[off < len(least)]] = 0
+    change = np.flatnonzero(least[1:] != least[:-1]) + 1
+    begin = np.concatenate([[0], change])
+    length = np.diff(np.append(begin, len(least)))
+    used = least[begin] > 0
+    begin, length = begin[used], length[used]
     pieces = -(-length // kind.span)
     if (pieces > 1).any():
         part = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first, length = np.repeat(first, pieces) + part * kind.span, np.minimum(np.repeat(length, pieces) - part * kind.span, kind.span)
-    begin, m = at[first], m[first]
-    # occurrences of the minimizer among the grams of the run: more than one means that it recurs
-    hits = np.zeros(len(grams) + 1, np.int64)
-    owner = np.repeat(np.arange(len(begin)), length + kind.span - 1)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(length + kind.span - 1) - (length + kind.span - 1), length + kind.span - 1) + begin[owner]
-    hits = np.bincount(owner, grams[place] == m[owner], len(begin)).astype(np.int64)
-    return m, begin, length, hits
-
+        begin, length = np.repeat(begin, pieces) + part * kind.span, np.minimum(np.repeat(length, pieces) - part * kind.span, kind.span)
+    m = least[begin]
+    return m, begin, length, _hits(grams, least, m, begin, length, kind) if count else none
 
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-#: Weights of a word's bytes are powers of an odd number, so sums over words can be shifted to the word's begin.
-_POWER = 0x9E3779B97F4A7C15
 
+def _hits(grams: np.ndarray, least: np.ndarray, m: np.ndarray, begin: np.ndarray, length: np.ndarray, kind: Kind) -> np.ndarray:
+    """How often the minimizer of each run is among the run's grams: more than once means that it recurs.
 
-@functools.cache
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    A gram is the minimizer of a window that holds it if it is no more than the greatest of their minimizers."""
+    around = np.zeros(len(grams) + kind.span - 1, np.uint64)
+    around[kind.span - 1 : kind.span - 1 + len(least)] = least
+    np.invert(around, out=around)
+    place = np.flatnonzero(grams == ~sliding_least(around, kind.span))
+    # the runs with windows that hold a place
+    low, high = np.searchsorted(begin + length, place - kind.span + 1, side="right"), np.searchsorted(begin, place, side="right")
+    n = high - low
+    run = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    return np.bincount(run[m[run] == np.repeat(grams[place], n)], minlength=len(m))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """The first ``n`` powers; those of a chunk's usual size are kept."""
-    usual = CHUNK_BYTES + 1
-    return _powers(base, usual)[:n] if n <= usual else _powers.__wrapped__(base, n)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -282,7 +283,7 @@ def _slices(texts: DataFrame, kind: Kind, table, rarity) -> DataFrame:
             for a, b in row_groups(offsets, CHUNK_BYTES):
                 part, own = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
                 values, ends, first, last = symbols(own, part, kind)
-                m, begin, length, _ = runs(values, ends, kind, rare)
+                m, begin, length, _ = runs(values, ends, kind, rare, count=False)
                 slot = (m & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
                 keep = (held[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
                 m, begin, stop = m[keep], begin[keep], begin[keep] + length[keep] + kind.width - 1
@@ -342,17 +343,14 @@ def _repeated(slices: DataFrame, kernel: Kernel) -> DataFrame:
     def shards(batches):
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(a, SHARD_ROWS) for b in batches for a in range(0, b.num_rows, SHARD_ROWS)):
             held.append(batch)
             size += batch.column(2).nbytes
-            if size > SHARD_SYMBOLS:
+            if size > SHARD_SYMBOLS and held[0].column(0)[0] != batch.column(0)[-1]:
                 table = pa.Table.from_batches(held)
                 m = table.column("m").to_numpy()
                 cut = int(np.searchsorted(m, m[-1]))  # the last minimizer may go on
-                if cut:
-                    yield look(table.slice(0, cut))
+                yield look(table.slice(0, cut))
                 held = table.slice(cut).combine_chunks().to_batches()
                 size = sum(x.column(2).nbytes for x in held)
         if held:
@@ -414,6 +412,30 @@ def spans(starts: list[int] | None, ranges: list[list[int]] | None) -> list[tupl
     return out
 
 
+def promising(values: np.ndarray, ends: np.ndarray, weights: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings end to end, with how often each occurs: the places that windows cover in which no gram
+    occurs once, as far as counts by hash tell, and where each stretch of such places of a string ends among them.
+
+    A gram that occurs once is in no repeated window, so nothing repeated is lost; what is left may not be repeated."""
+    size = np.diff(ends, prepend=0)
+    left = np.repeat(ends, size) - np.arange(len(values))
+    grams = gram_hashes(values, kind.gram)
+    slot = (grams >> np.uint64(64 - max(len(grams).bit_length(), SLOT_BITS))).astype(np.int64)
+    once = np.zeros(len(values) + 1, np.int32)
+    once[1 : len(slot) + 1] = np.bincount(slot)[slot] == 1 if len(slot) else 0
+    once[1:] &= (left >= kind.gram) & np.repeat(weights == 1, size)
+    once = np.cumsum(once, dtype=np.int32)
+    at = np.flatnonzero(left >= kind.width)
+    at = at[once[at + kind.span] == once[at]]
+    if not len(at):
+        return at, at
+    # windows that overlap or meet within a string are one stretch
+    fresh = np.flatnonzero((np.diff(at) > kind.width) | (left[at[1:]] - left[at[:-1]] != at[:-1] - at[1:]))
+    begin, stop = at[np.append(0, fresh + 1)], at[np.append(fresh, len(at) - 1)] + kind.width
+    last = np.cumsum(stop - begin)
+    return np.repeat(stop - last, stop - begin) + np.arange(int(last[-1])), last
+
+
 def joined_ranges(windows: np.ndarray, width: int) -> list[tuple[int, int]]:
     """What windows that begin at these ascending places cover."""
     cut = np.flatnonzero(np.diff(windows) > width) + 1

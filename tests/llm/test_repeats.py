@@ -140,3 +140,64 @@ def test_equal_rows_gather_as_much_as_two_of_them(table):
     few, many = (windows.covered(table([(None, text)] * n + [(1, text)]), fmindex.KIND, fmindex.kernel).collect() for n in (2, 300))
     assert len(many) == 301 and {len(r.starts) for r in many} == {len(r.starts) for r in few}
     assert all(windows.spans(r.starts, r.ranges) == [(0, 120)] for r in many)
+
+
+def test_hits_are_the_occurrences_in_a_run():
+    rng = np.random.default_rng(9)
+    values = rng.integers(0, 1 << 60, 900, np.uint64)
+    values[100:400] = np.tile(values[:3], 100)
+    values[600:700] = values[420:520]
+    ends = np.array([20, 20, 54, 500, 530, 900])
+    for kind in (fmindex.KIND, windows.Kind(words=False, width=60, gram=7)):
+        grams = gram_hashes(values, kind.gram)
+        m, begin, length, hits = runs(values, ends, kind)
+        assert hits.tolist() == [int((grams[b : b + n + kind.span - 1] == x).sum()) for x, b, n in zip(m, begin, length, strict=True)]
+        assert grams[100] == grams[103] != grams[101]
+
+
+@pytest.mark.parametrize("kind", [fmindex.KIND, windows.Kind(words=False, width=60, gram=7)])
+def test_promising_places_hold_every_repeated_window_and_little_else(kind):
+    rng = np.random.default_rng(10)
+    values = rng.integers(0, 1 << 60, 5000, np.uint64)
+    values[3000 : 3000 + kind.width] = values[100 : 100 + kind.width]
+    ends = np.array([30, 2000, 2010, 2900, 4400, 5000])
+    place, stops = windows.promising(values, ends, np.array([1, 1, 1, 1, 1, 2]), kind)
+    want = [*range(100, 100 + kind.width), *range(3000, 3000 + kind.width), *range(4400, 5000)]
+    assert set(want) <= set(place.tolist()) and len(place) <= len(want) + 100 and (np.diff(place) > 0).all()
+    inner = set(ends.tolist()) & set(place.tolist())
+    assert all(int(np.searchsorted(place, e)) in stops for e in inner) and stops[-1] == len(place)
+
+
+def _costly(kind, monkeypatch):
+    """How many symbols of 200 slices with a short common part and one pair of copies are put in order."""
+    rng, seen = random.Random(11), []
+    word = lambda: f"{rng.randrange(1 << 40):x}"
+    some = lambda n: " ".join(word() for _ in range(n))
+    common, copy = some(14 if kind.words else 5), some(40)
+    slices = [f"{some(15)} {common} {some(15)}".encode() for _ in range(200)] + [f"{copy} {some(3)}".encode(), f"{some(3)} {copy}".encode()]
+    module, name = (fmindex, "FMIndex") if kind.words else (suffixarray, "bucket_ids")
+    real = getattr(module, name)
+    monkeypatch.setattr(module, name, lambda data, *a: seen.append(len(data)) or real(data, *a))
+    found = module.kernel(slices, np.ones(len(slices), np.int64))
+    texts = [list(x.split()) if kind.words else list(x) for x in slices]
+    for ranges, gone in zip(found, brute(texts, kind.width), strict=True):
+        held = np.zeros(len(gone), bool)
+        for a, b in ranges:
+            held[a:b] = True
+        assert (held == gone).all()
+    return sum(seen), sum(map(len, texts))
+
+
+def test_words_that_cannot_be_repeated_are_not_indexed(monkeypatch):
+    put, every = _costly(fmindex.KIND, monkeypatch)
+    assert put < every / 20
+
+
+def test_matches_are_not_searched_again_from_each_end(monkeypatch):
+    """Strings that hold a long repeated one behind others: few steps of backward search."""
+    steps, real = [], fmindex.FMIndex.extend
+    monkeypatch.setattr(fmindex.FMIndex, "extend", lambda self, *a: steps.append(1) or real(self, *a))
+    long, short = [f"a{i}" for i in range(52)], [f"b{i}" for i in range(4)]
+    slices = [" ".join([*short[:2], *long]), " ".join([*short[2:], *long]), " ".join(short)]
+    assert fmindex.kernel([x.encode() for x in slices], np.array([1, 1, 2])) == [[(2, 54)], [(2, 54)], []]
+    assert len(steps) <= 54 + 2 * 36
