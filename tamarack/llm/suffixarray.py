@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tamarack.llm.windows import Kind, covered, joined_ranges, rows_of, spans
+from tamarack.llm.windows import Kind, covered, promising, rows_of, spans, symbols
 
 WIDTH, GRAM = 200, 40
 KIND = Kind(words=False, width=WIDTH, gram=GRAM)
@@ -37,7 +37,7 @@ def bucket_ids(data: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : n + i]
     active = np.flatnonzero(left >= known)
-    active = active[np.argsort(key[active], kind="stable")]
+    active = active[np.argsort(key[active])]
     ids = np.full(n, -1, np.int64)
     change = _changes(key[active])
     first = np.flatnonzero(change)
@@ -50,7 +50,7 @@ def bucket_ids(data: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
         if not len(active):
             break
         both = (ids[active] << 32) | ids[active + offset]
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both)
         active, both = active[by], both[by]
         bucket = both >> 32
         starts, parts = np.flatnonzero(_changes(bucket)), np.flatnonzero(change := _changes(both))
@@ -68,21 +68,24 @@ def _changes(ordered: np.ndarray) -> np.ndarray:
 
 def kernel(slices: list[bytes], weights: np.ndarray, width: int = WIDTH) -> list[list[tuple[int, int]]]:
     """The ranges that windows with two occurrences or more, by weight, cover in each slice."""
-    size = np.fromiter(map(len, slices), np.int64, len(slices))
-    ends = np.cumsum(size)
-    left = np.repeat(ends, size) - np.arange(int(ends[-1]))
-    ids = bucket_ids(np.frombuffer(b"".join(slices), np.uint8), left, width)
+    ends = np.cumsum(np.fromiter(map(len, slices), np.int64, len(slices)))
+    data = np.frombuffer(b"".join(slices), np.uint8)
+    # what can't be repeated isn't put into buckets
+    place, stops = promising(symbols(data, ends, KIND)[0], ends, weights, Kind(words=False, width=width, gram=min(GRAM, width)))
+    out: list[list[tuple[int, int]]] = [[] for _ in slices]
+    left = np.repeat(stops, np.diff(stops, prepend=0)) - np.arange(len(place))
+    ids = bucket_ids(data[place], left, width)
     at = np.flatnonzero(left >= width)
-    owner = np.searchsorted(ends, at, side="right")
+    owner = np.searchsorted(ends, place[at], side="right")
     total = np.bincount(ids[at], weights[owner], len(ids))
     again = total[ids[at]] > 1
-    at, owner = at[again], owner[again]
-    out: list[list[tuple[int, int]]] = [[] for _ in slices]
+    at, owner = place[at[again]], owner[again]
     if len(at):
-        cut = np.flatnonzero(np.diff(owner)) + 1
-        for part, windows in zip(np.split(owner, cut), np.split(at, cut), strict=True):
-            i = int(part[0])
-            out[i] = joined_ranges(windows - (int(ends[i]) - int(size[i])), width)
+        fresh = np.flatnonzero((np.diff(at) > width) | (np.diff(owner) > 0))
+        first, last = np.append(0, fresh + 1), np.append(fresh, len(at) - 1)
+        start = np.append(0, ends[:-1])[owner[first]]
+        for i, a, b in zip(owner[first].tolist(), (at[first] - start).tolist(), (at[last] + width - start).tolist(), strict=True):
+            out[i].append((a, b))
     return out
 
 

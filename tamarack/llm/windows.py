@@ -434,9 +434,3 @@ def promising(values: np.ndarray, ends: np.ndarray, weights: np.ndarray, kind: K
     begin, stop = at[np.append(0, fresh + 1)], at[np.append(fresh, len(at) - 1)] + kind.width
     last = np.cumsum(stop - begin)
     return np.repeat(stop - last, stop - begin) + np.arange(int(last[-1])), last
-
-
-def joined_ranges(windows: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """What windows that begin at these ascending places cover."""
-    cut = np.flatnonzero(np.diff(windows) > width) + 1
-    return [(int(x[0]), int(x[-1]) + width) for x in np.split(windows, cut) if len(x)]

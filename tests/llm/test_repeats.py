@@ -193,6 +193,11 @@ def test_words_that_cannot_be_repeated_are_not_indexed(monkeypatch):
     assert put < every / 20
 
 
+def test_bytes_that_cannot_be_repeated_are_not_put_into_buckets(monkeypatch):
+    put, every = _costly(suffixarray.KIND, monkeypatch)
+    assert put < every / 20
+
+
 def test_matches_are_not_searched_again_from_each_end(monkeypatch):
     """Strings that hold a long repeated one behind others: few steps of backward search."""
     steps, real = [], fmindex.FMIndex.extend
